@@ -72,7 +72,7 @@ _MARK = "CASE WHEN count(DISTINCT link_row) <= 3 THEN 'rare' WHEN count(DISTINCT
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences}
 SQL = {
     "p4_found": f"WITH {_TRIPS} SELECT origin, measure FROM vals GROUP BY ALL HAVING count(*) >= 40 AND quantile_cont(v, 0.95) > 6 * quantile_cont(v, 0.5)",
-    "p4_percentiles": f"WITH {_TRIPS} SELECT origin, measure, CAST(q AS DOUBLE) AS q, n, round(value, 6) AS value FROM (SELECT origin, measure, count(*) AS n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95])) AS value FROM vals GROUP BY ALL)",
+    "p4_percentiles": f"WITH {_TRIPS} SELECT origin, measure, CAST(q AS DOUBLE) AS q, n, round(value, 6) AS value FROM (SELECT origin, measure, n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(a) AS value FROM (SELECT origin, measure, count(*) AS n, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS a FROM vals GROUP BY ALL))",
     "p7_found": f"WITH {_VALUES}, {_GRAMS}, marks AS (SELECT tag_field, term, {_MARK} AS mark FROM grams JOIN sizes USING (tag_field) WHERE n = 1 GROUP BY ALL) SELECT tag_field, term, mark FROM marks WHERE mark <> ''",
     "p7_sequences": f"WITH {_VALUES}, {_GRAMS} SELECT tag_field, term, CAST(n AS INTEGER) AS n, count(*) AS tf, count(DISTINCT link_row) AS df, {_MARK} AS mark FROM grams JOIN sizes USING (tag_field) GROUP BY tag_field, term, n",
 }
