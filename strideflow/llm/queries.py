@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideflow.llm.groups import link_groups
+from strideflow.llm.leaks import leaks
 from strideflow.llm.quantiles import runs, select
 from strideflow.llm.terms import marked, term_counts
 from strideflow.operators.packed import cut_fields, learn_dictionary
@@ -64,12 +65,25 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(spark, sf_dir, 3).select(F.col("grp").alias("tag_field"), F.array_join("term", " > ").alias("term"), "n", "tf", "df", F.coalesce("mark", F.lit("")).alias("mark"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least two fifths of an evaluation item in one stretch."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return leaks(docs, read_table(spark, sf_dir, "eval_items", ["item_id", "text"])).select("item_id", "doc_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each leaked item the number of documents and its longest stretch as a share of its words."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = leaks(docs, read_table(spark, sf_dir, "eval_items", ["item_id", "text"]))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max(F.round(F.col("words") / F.col("item_words"), 3)).alias("longest_share"))
+
+
 _TRIPS = "trips AS (SELECT DISTINCT trip_id, origin, length_m, demand FROM trip_lengths), vals AS (SELECT origin, 'length_m' AS measure, length_m AS v FROM trips WHERE length_m IS NOT NULL AND NOT isnan(length_m) UNION ALL SELECT origin, 'demand', demand FROM trips WHERE demand IS NOT NULL AND NOT isnan(demand))"
 _VALUES = f"{PIECES_SQL.strip()}, recs AS (SELECT tag_field, link_row, list_transform(items, lambda x: lower(x)) AS terms FROM pieces WHERE len(items) > 0 AND tag_field <> 'crossing'), sizes AS (SELECT tag_field, count(*) AS total FROM recs GROUP BY 1)"
 _GRAMS = "grams AS (" + " UNION ALL ".join(f"SELECT tag_field, link_row, array_to_string(terms[i:i + {n - 1}], ' > ') AS term, {n} AS n FROM recs, LATERAL (SELECT unnest(range(1, len(terms) + {2 - n})) AS i)" for n in (1, 2, 3)) + ")"
 _MARK = "CASE WHEN count(DISTINCT link_row) <= 3 THEN 'rare' WHEN count(DISTINCT link_row) > 0.25 * any_value(total) THEN 'common' ELSE '' END"
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p8_found": p8_found, "p8_items": p8_items}
 SQL = {
     "p4_found": f"WITH {_TRIPS} SELECT origin, measure FROM vals GROUP BY ALL HAVING count(*) >= 40 AND quantile_cont(v, 0.95) > 6 * quantile_cont(v, 0.5)",
     "p4_percentiles": f"WITH {_TRIPS} SELECT origin, measure, CAST(q AS DOUBLE) AS q, n, round(value, 6) AS value FROM (SELECT origin, measure, n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(a) AS value FROM (SELECT origin, measure, count(*) AS n, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS a FROM vals GROUP BY ALL))",
