@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideflow.llm.canonical import Spelling, map_values
 from strideflow.llm.groups import link_groups
 from strideflow.llm.leaks import leaks
 from strideflow.llm.quantiles import runs, select
@@ -40,6 +41,32 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("grp").alias("origin"), "measure", "q", "n", F.round("value", 6).alias("value"))
 
 
+#: How counters are typed, on folded text.
+COUNTERS = Spelling(
+    noise=(r"\blam \d+\b", r"#\d+", r"\(pyorat\)", r"\b2-suunt\b\.?", r"-\s*vanha\b", r"\blaskuri\b", r"pp\W*$", r"\bpp\b"),
+    endings=(("katu", ("k",)), ("tie", ("t",)), ("polku", ("p",)), ("silta", ("s",)), ("raitti", ("r",)), ("bulevardi", ("bul", "b")), ("kuja", ("kj", "k")), ("vayla", ("vl", "v"))),
+    additions=("etela", "pohjoinen", "ita", "lansi", "alapaa", "ylapaa", "alikulku", "ylikulku", "rantareitti"),
+)
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = read_table(spark, sf_dir, "observed", ["obs_id", "city", "counter_name", "x", "y"])
+    mid = lambda c: (F.element_at("geometry", 1)[c] + F.element_at("geometry", -1)[c]) / 2
+    lines = read_table(spark, sf_dir, "count_lines").select("line_id", F.col("city").alias("line_city"), "counter", mid("x").alias("lx"), mid("y").alias("ly"))
+    return map_values(seen, "obs_id", "city", "counter_name", "x", "y", lines, "line_id", "line_city", "counter", "lx", "ly", COUNTERS)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter that each observation's typed name means, or -1."""
+    return _mapped(spark, sf_dir)
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed names that mean no counter, with their observations."""
+    seen = read_table(spark, sf_dir, "observed", ["obs_id", "counter_name"]).distinct()
+    return _mapped(spark, sf_dir).where("line_id = -1").join(seen, "obs_id").groupBy("counter_name").agg(F.count("*").alias("observations"))
+
+
 def _values(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
     """Distinct fields of ``links`` with their number of rows, cut into lower-case values."""
     links = read_table(spark, sf_dir, "links", fields)
@@ -83,7 +110,7 @@ _VALUES = f"{PIECES_SQL.strip()}, recs AS (SELECT tag_field, link_row, list_tran
 _GRAMS = "grams AS (" + " UNION ALL ".join(f"SELECT tag_field, link_row, array_to_string(terms[i:i + {n - 1}], ' > ') AS term, {n} AS n FROM recs, LATERAL (SELECT unnest(range(1, len(terms) + {2 - n})) AS i)" for n in (1, 2, 3)) + ")"
 _MARK = "CASE WHEN count(DISTINCT link_row) <= 3 THEN 'rare' WHEN count(DISTINCT link_row) > 0.25 * any_value(total) THEN 'common' ELSE '' END"
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p8_found": p8_found, "p8_items": p8_items}
 SQL = {
     "p4_found": f"WITH {_TRIPS} SELECT origin, measure FROM vals GROUP BY ALL HAVING count(*) >= 40 AND quantile_cont(v, 0.95) > 6 * quantile_cont(v, 0.5)",
     "p4_percentiles": f"WITH {_TRIPS} SELECT origin, measure, CAST(q AS DOUBLE) AS q, n, round(value, 6) AS value FROM (SELECT origin, measure, n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(a) AS value FROM (SELECT origin, measure, count(*) AS n, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS a FROM vals GROUP BY ALL))",
