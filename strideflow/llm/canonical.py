@@ -56,6 +56,27 @@ def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(r) for r in raw], np.int64)
 
 
+def _one_distance(q: list[int], word: list[int]) -> int:
+    """Myers' recurrence for a single pair, on one whole number."""
+    m = len(q)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    peq: dict[int, int] = {}
+    for i, c in enumerate(q):
+        peq[c] = peq.get(c, 0) | 1 << i
+    vp, vn, score = full, 0, m
+    for c in word:
+        eq = peq.get(c, 0)
+        d0 = (((eq & vp) + vp) ^ vp) | eq | vn
+        hp, hn = vn | ~(d0 | vp), d0 & vp
+        if hp & top:
+            score += 1
+        if hn & top:
+            score -= 1
+        hp, hn = (hp << 1) | 1, hn << 1
+        vp, vn = (hn | ~(d0 | hp)) & full, hp & d0 & full
+    return score
+
+
 def distances(query: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Levenshtein distance of ``query`` to every row, by Myers' bit vectors (longer ones by the plain recurrence)."""
     m = len(query)
@@ -76,6 +97,8 @@ def distances(query: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
             row = new
             out = np.where(lengths == j + 1, row[:, m], out)
         return out
+    if len(codes) <= 16:
+        return np.array([_one_distance(q, row[:n]) for row, n in zip(codes.tolist(), lengths.tolist())], np.int64)
     peq = np.zeros(256, np.uint64)
     for i, c in enumerate(q):
         peq[c] |= np.uint64(1 << i)
@@ -238,8 +261,8 @@ class Reference:
         if len(base) < 4:
             return []
         best: dict[int, tuple] = {}
-        for radius in (1, min(most, int(len(base) * loose))):  # the wide search only where the narrow one finds none with the addition
-            for form, d in self.trees[s].within(base, radius):
+        for radius in (0, 1, min(most, int(len(base) * loose))):  # a wider search only where the narrower finds none with the addition
+            for form, d in self.trees[s].within(base, radius) if radius else [(base, 0)] * (base in self.by_form[s]):
                 for e in self.by_form[s][form]:
                     c = (d + (0 if form == e.base else 0.25), e.id, e.addition == addition, e.x, e.y)
                     if e.id not in best or c < best[e.id]:
@@ -277,13 +300,14 @@ def candidates(values: DataFrame, scope: str, value: str, entries: list[tuple],
     return parts
 
 
-def map_values(rows: DataFrame, key: str, scope: str, value: str, x: str, y: str, entries: DataFrame, entry_id: str, entry_scope: str, entry_value: str, entry_x: str, entry_y: str, spelling: Spelling, strict: float = 0.28, near_m: float = 250.0) -> DataFrame:
+def map_values(rows: DataFrame, key: str, scope: str, value: str, x: str, y: str, entries: DataFrame, entry_id: str, entry_scope: str, entry_value: str, entry_x: str, entry_y: str, spelling: Spelling, strict: float = 0.28, strict_far: float = 0.15, near_m: float = 250.0) -> DataFrame:
     """``(key, entry_id)`` of every row whose value is neither NULL nor blank: the entry that is meant, or -1.
 
     Of the candidates, one whose place is within ``near_m`` of the row's wins;
-    without such a one the edits may be at most ``strict`` of the letters, the
-    addition must agree, and entries of equal rank in several scopes are
-    undecided (-1).  Repeated rows give one result.
+    without such a one the edits may be at most ``strict`` of the letters
+    (``strict_far`` where the row has a place), entries with the same addition
+    go first, and entries of equal rank are undecided (-1).  Repeated rows give
+    one result; a NULL or unknown scope searches all scopes.
     """
     listed = [tuple(r) for r in entries.where(F.col(entry_id).isNotNull() & F.col(entry_value).isNotNull()).select(F.col(entry_id).cast("bigint"), entry_scope, entry_value, F.col(entry_x).cast("double"), F.col(entry_y).cast("double")).orderBy(entry_id).collect()]
     typed = rows.where(F.col(value).isNotNull() & (F.trim(F.regexp_replace(value, r"\s+", " ")) != "")).select(F.col(key).alias("k"), F.col(scope).cast("string").alias("scope"), F.col(value).cast("string").alias("value"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
@@ -297,7 +321,7 @@ def map_values(rows: DataFrame, key: str, scope: str, value: str, x: str, y: str
             F.when(c["same"], 0).otherwise(1).alias("other"), c["edits"].alias("edits"), c["id"].alias("id"), c["letters"].alias("letters"),
         ),
     )
-    ok = F.filter(ranked, lambda c: (c["far"] == 0) | (F.floor(c["edits"]) <= strict * c["letters"]))
+    ok = F.filter(ranked, lambda c: (c["far"] == 0) | (F.floor(c["edits"]) <= F.when(placed, strict_far).otherwise(strict) * c["letters"]))
     first = F.array_min(ok)
     ties = F.size(F.filter(ok, lambda c: (c["far"] == first["far"]) & (c["other"] == first["other"]) & (c["edits"] == first["edits"])))
     decided = F.when(F.size(ok) == 0, -1).when((first["far"] == 0) | (ties == 1), first["id"]).otherwise(-1)
