@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideflow.llm.canonical import Spelling, map_values
+from strideflow.llm.entities import match_roads
 from strideflow.llm.groups import link_groups
 from strideflow.llm.leaks import leaks
 from strideflow.llm.quantiles import runs, select
@@ -41,6 +42,36 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("grp").alias("origin"), "measure", "q", "n", F.round("value", 6).alias("value"))
 
 
+#: Classes of the other network by the link's first highway value; other values carry no motor traffic.
+MOTOR_CLASS = {
+    "motorway": 1, "motorway_link": 1, "trunk": 1, "trunk_link": 1, "primary": 1, "primary_link": 1, "secondary": 2, "secondary_link": 2, "tertiary": 3,
+    "tertiary_link": 3, "unclassified": 4, "road": 4, "residential": 5, "living_street": 6, "service": 6,
+}
+
+
+def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(link_row, source_row, offset_m, confidence) of every pair that belongs together; re-delivered rows of a link share its matches."""
+    links = read_table(spark, sf_dir, "links", ["link_row", "link_id", "highway", "street_name", "geometry"])
+    known = F.create_map(*[F.lit(x) for kv in MOTOR_CLASS.items() for x in kv])
+    first = F.regexp_extract(F.lower("highway"), r"([a-z]+(?:_[a-z]+)*)", 1)
+    once = links.groupBy("link_id").agg(F.min_by(F.struct("highway", "street_name", "geometry"), F.when(F.col("geometry").isNotNull(), F.col("link_row"))).alias("r")).select(F.col("link_id").alias("link"), "r.*")
+    motor = once.withColumn("road_class", F.try_element_at(known, first)).where("road_class is not null").withColumnRenamed("street_name", "name")
+    lines = read_table(spark, sf_dir, "volumes", ["source_row", "road_class", "road_name", "geometry"]).select(F.col("source_row").alias("line"), F.col("road_name").alias("name"), "road_class", "geometry")
+    found = match_roads(motor, lines).where("belief > 0")
+    return links.select("link_row", "link_id").join(found, F.col("link_id") == F.col("link")).select("link_row", F.col("line").alias("source_row"), "offset_m", "confidence")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link row and volume line that stand for the same road along the whole link."""
+    return _roads(spark, sf_dir).select("link_row", "source_row").distinct()
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with their offset and confidence, and the cars an hour that the line gives the link."""
+    lines = read_table(spark, sf_dir, "volumes", ["source_row", "volume"])
+    return _roads(spark, sf_dir).join(lines, "source_row").select("link_row", "source_row", F.round("offset_m", 2).alias("offset_m"), F.round("confidence", 4).alias("confidence"), F.round(F.col("volume") / 14, 3).alias("cars_per_hour"))
+
+
 #: How counters are typed, on folded text.
 COUNTERS = Spelling(
     noise=(r"\blam \d+\b", r"#\d+", r"\(pyorat\)", r"\b2-suunt\b\.?", r"-\s*vanha\b", r"\blaskuri\b", r"pp\W*$", r"\bpp\b"),
@@ -110,7 +141,7 @@ _VALUES = f"{PIECES_SQL.strip()}, recs AS (SELECT tag_field, link_row, list_tran
 _GRAMS = "grams AS (" + " UNION ALL ".join(f"SELECT tag_field, link_row, array_to_string(terms[i:i + {n - 1}], ' > ') AS term, {n} AS n FROM recs, LATERAL (SELECT unnest(range(1, len(terms) + {2 - n})) AS i)" for n in (1, 2, 3)) + ")"
 _MARK = "CASE WHEN count(DISTINCT link_row) <= 3 THEN 'rare' WHEN count(DISTINCT link_row) > 0.25 * any_value(total) THEN 'common' ELSE '' END"
 
-QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p8_found": p8_found, "p8_items": p8_items}
 SQL = {
     "p4_found": f"WITH {_TRIPS} SELECT origin, measure FROM vals GROUP BY ALL HAVING count(*) >= 40 AND quantile_cont(v, 0.95) > 6 * quantile_cont(v, 0.5)",
     "p4_percentiles": f"WITH {_TRIPS} SELECT origin, measure, CAST(q AS DOUBLE) AS q, n, round(value, 6) AS value FROM (SELECT origin, measure, n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(a) AS value FROM (SELECT origin, measure, count(*) AS n, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS a FROM vals GROUP BY ALL))",
