@@ -9,6 +9,8 @@ from strideflow.llm.canonical import Spelling, map_values
 from strideflow.llm.entities import match_roads
 from strideflow.llm.groups import link_groups
 from strideflow.llm.leaks import leaks
+from strideflow.llm.mixing import mix, shares_reached
+from strideflow.llm.pieces import pieces
 from strideflow.llm.quantiles import runs, select
 from strideflow.llm.terms import marked, term_counts
 from strideflow.operators.packed import cut_fields, learn_dictionary
@@ -136,12 +138,27 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max(F.round(F.col("words") / F.col("item_words"), 3)).alias("longest_share"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the largest mix with the target shares, each with its number of uses."""
+    return mix(read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return shares_reached(p9_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 512 tokens, 64 of them overlapping, of every longer document."""
+    return pieces(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), limit=512, overlap=64)
+
+
 _TRIPS = "trips AS (SELECT DISTINCT trip_id, origin, length_m, demand FROM trip_lengths), vals AS (SELECT origin, 'length_m' AS measure, length_m AS v FROM trips WHERE length_m IS NOT NULL AND NOT isnan(length_m) UNION ALL SELECT origin, 'demand', demand FROM trips WHERE demand IS NOT NULL AND NOT isnan(demand))"
 _VALUES = f"{PIECES_SQL.strip()}, recs AS (SELECT tag_field, link_row, list_transform(items, lambda x: lower(x)) AS terms FROM pieces WHERE len(items) > 0 AND tag_field <> 'crossing'), sizes AS (SELECT tag_field, count(*) AS total FROM recs GROUP BY 1)"
 _GRAMS = "grams AS (" + " UNION ALL ".join(f"SELECT tag_field, link_row, array_to_string(terms[i:i + {n - 1}], ' > ') AS term, {n} AS n FROM recs, LATERAL (SELECT unnest(range(1, len(terms) + {2 - n})) AS i)" for n in (1, 2, 3)) + ")"
 _MARK = "CASE WHEN count(DISTINCT link_row) <= 3 THEN 'rare' WHEN count(DISTINCT link_row) > 0.25 * any_value(total) THEN 'common' ELSE '' END"
 
-QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_report": p9_report, "p10_pieces": p10_pieces}
 SQL = {
     "p4_found": f"WITH {_TRIPS} SELECT origin, measure FROM vals GROUP BY ALL HAVING count(*) >= 40 AND quantile_cont(v, 0.95) > 6 * quantile_cont(v, 0.5)",
     "p4_percentiles": f"WITH {_TRIPS} SELECT origin, measure, CAST(q AS DOUBLE) AS q, n, round(value, 6) AS value FROM (SELECT origin, measure, n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(a) AS value FROM (SELECT origin, measure, count(*) AS n, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS a FROM vals GROUP BY ALL))",
