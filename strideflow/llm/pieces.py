@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,23 +38,48 @@ def boundaries(text: str) -> list[tuple[int, str]]:
 
 
 def valley_depths(units: list[str], block: int = BLOCK) -> list[float]:
-    """For each gap between two units how far the blocks' similarity lies below the next peaks on either side."""
-    bags = [Counter(_WORD.findall(u.lower())) for u in units]
-    similar = []
-    for g in range(1, len(units)):
-        left, right = Counter(), Counter()
-        for b in bags[max(0, g - block) : g]:
-            left.update(b)
-        for b in bags[g : g + block]:
-            right.update(b)
-        norm = math.sqrt(sum(x * x for x in left.values()) * sum(x * x for x in right.values()))
-        similar.append(sum(n * right[w] for w, n in left.items() if w in right) / norm if norm else 0.0)
-    n = len(similar)
-    up_left, up_right = [0.0] * n, [0.0] * n
-    for i in range(n):  # the peak that a climb from the valley reaches
-        up_left[i] = up_left[i - 1] if i and similar[i - 1] >= similar[i] else similar[i]
-    for i in range(n - 1, -1, -1):
-        up_right[i] = up_right[i + 1] if i + 1 < n and similar[i + 1] >= similar[i] else similar[i]
+    """For each gap between two units how far the blocks' similarity lies below the next peaks on either side.
+
+    The blocks' dot products and norms are sums over a band of the units' own
+    dot products, which only pairs of units with a common word add to.
+    """
+    n = len(units) - 1
+    if n < 1:
+        return []
+    ids: dict[str, int] = {}
+    words, sizes = [], []
+    for u in units:
+        found = _WORD.findall(u.lower())
+        sizes.append(len(found))
+        words += [ids.setdefault(w, len(ids)) for w in found]
+    width = 2 * block
+    key, count = np.unique(np.array(words, np.int64) * len(units) + np.repeat(np.arange(len(units)), sizes), return_counts=True)
+    word, unit = np.divmod(key, len(units))
+    band = np.zeros((width, len(units) + width))  # band[d, i]: product of units i and i + d
+    for k in range(min(width, len(key))):
+        d = unit[k:] - unit[: len(key) - k]
+        ok = (word[k:] == word[: len(key) - k]) & (d < width)
+        np.add.at(band, (d[ok], unit[: len(key) - k][ok]), (count[k:] * count[: len(key) - k])[ok])
+    gaps = np.arange(1, n + 1)
+    dot, left, right = np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in range(-block, block):
+        for j in range(i, block):
+            x = np.where(gaps + i >= 0, band[j - i, np.maximum(gaps + i, 0)], 0.0)
+            if i < 0 <= j:
+                dot += x
+            elif j < 0:
+                left += x * (2 if j > i else 1)
+            else:
+                right += x * (2 if j > i else 1)
+    norm = np.sqrt(left * right)
+    similar = np.where(norm > 0, dot / np.where(norm > 0, norm, 1), 0.0).tolist()
+    up_left, up_right = similar[:], similar[:]
+    for i in range(1, n):  # the peak that a climb from the valley reaches
+        if similar[i - 1] >= similar[i]:
+            up_left[i] = up_left[i - 1]
+    for i in range(n - 2, -1, -1):
+        if similar[i + 1] >= similar[i]:
+            up_right[i] = up_right[i + 1]
     return [up_left[i] + up_right[i] - 2 * similar[i] for i in range(n)]
 
 
