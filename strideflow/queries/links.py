@@ -152,7 +152,7 @@ def c14_line_points(s, d):
     """The points at a quarter, half and three quarters of every link's length."""
     t = _norm(s, d).select("link_row", segments("geometry").alias("segs"), "length_m").select("*", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("part"))
     p = along(F.col("segs"), F.col("part") * F.col("length_m"))
-    return t.select("link_row", "part", F.round(p["x"], 3).alias("x"), F.round(p["y"], 3).alias("y"))
+    return t.select("link_row", "part", F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))
 
 
 def h16_tiles(s, d):
@@ -257,7 +257,7 @@ SQL = {
     "c20_resolved_edges": f"WITH {net_sql(sp.BIKE)}, {_NODES} SELECT link_id, a.node_index AS u_index, b.node_index AS v_index, CAST(direction AS INTEGER) AS direction FROM net JOIN known a ON a.node_id = u JOIN known b ON b.node_id = v",
     "c01_edge_geometry": f"WITH {net_sql(sp.BIKE)} SELECT n.u, n.v, link_id, CAST(len(geometry) AS INTEGER) AS vertices, CASE WHEN direction < 0 THEN geometry[-1].x ELSE geometry[1].x END AS x_from, CASE WHEN direction < 0 THEN geometry[1].x ELSE geometry[-1].x END AS x_to FROM net n JOIN norm USING (link_id)",
     "h22_samples": f"WITH {_SEGS}, cells AS (SELECT *, greatest(1, round(len / 10))::INT AS n FROM seg WHERE len > 0) SELECT link_row, CAST(row_number() OVER (PARTITION BY link_row ORDER BY i, k) - 1 AS INTEGER) AS i, round(ax + (zx - ax) * (k - 0.5) / n, 3) AS x, round(ay + (zy - ay) * (k - 0.5) / n, 3) AS y FROM cells, LATERAL (SELECT unnest(range(1, n + 1)) AS k)",
-    "c14_line_points": f"WITH {_NORM}, cum AS (SELECT link_row, ax, ay, zx, zy, len, sum(len) OVER (PARTITION BY link_row ORDER BY i) AS upto FROM seg WHERE len > 0), places AS (SELECT link_row, part, part * length_m AS dist FROM norm, (VALUES (0.25::DOUBLE), (0.5), (0.75)) p(part)) SELECT a.link_row, part, round(ax + (zx - ax) * (dist - upto + len) / len, 3) AS x, round(ay + (zy - ay) * (dist - upto + len) / len, 3) AS y FROM places a JOIN cum c ON a.link_row = c.link_row AND dist > upto - len AND dist <= upto",
+    "c14_line_points": f"WITH {_NORM}, cum AS (SELECT link_row, ax, ay, zx, zy, len, sum(len) OVER (PARTITION BY link_row ORDER BY i) AS upto FROM seg WHERE len > 0), places AS (SELECT link_row, part, part * length_m AS dist FROM norm, (VALUES (0.25::DOUBLE), (0.5), (0.75)) p(part)) SELECT a.link_row, part, round(ax + (zx - ax) * (dist - upto + len) / len, 6) AS x, round(ay + (zy - ay) * (dist - upto + len) / len, 6) AS y FROM places a JOIN cum c ON a.link_row = c.link_row AND dist > upto - len AND dist <= upto",
     "h16_tiles": "WITH b AS (SELECT link_row, list_min(list_transform(geometry, lambda p: p.x)) AS x0, list_max(list_transform(geometry, lambda p: p.x)) AS x1, list_min(list_transform(geometry, lambda p: p.y)) AS y0, list_max(list_transform(geometry, lambda p: p.y)) AS y1 FROM links WHERE len(geometry) > 0) SELECT tile_x, tile_y, count(*) AS links FROM b, LATERAL (SELECT unnest(range(floor(x0 / 8000)::BIGINT, floor(x1 / 8000)::BIGINT + 1)) AS tile_x), LATERAL (SELECT unnest(range(floor(y0 / 8000)::BIGINT, floor(y1 / 8000)::BIGINT + 1)) AS tile_y) GROUP BY 1, 2",
     "h34_bounds": "SELECT min(p.x) AS x_min, max(p.x) AS x_max, min(p.y) AS y_min, max(p.y) AS y_max FROM (SELECT unnest(geometry) AS p FROM links)",
     "d40_length_by_highway": f"WITH {_NORM} SELECT lower(trim(highway)) AS class, count(*) AS links, round(sum(length_m) / 1000, 3) AS km FROM norm GROUP BY 1",
