@@ -240,6 +240,7 @@ class Reference:
 
     def __init__(self, rows: list[tuple], spelling: Spelling):
         self.spelling = spelling
+        self._lately: dict[tuple[str, str, int], list[tuple[str, int]]] = {}
         self.by_form: dict[str, dict[str, list[Entry]]] = defaultdict(lambda: defaultdict(list))
         self.scopes = sorted({fold(r[1]).strip() for r in rows if r[1]}, key=lambda s: (-len(s), s))
         for id_, scope, name, x, y in rows:
@@ -252,6 +253,17 @@ class Reference:
         self.by_form = {s: dict(f) for s, f in self.by_form.items()}
         self.trees = {s: BKTree.build(list(f)) for s, f in self.by_form.items()}
 
+    def _forms(self, scope: str, base: str, radius: int) -> list[tuple[str, int]]:
+        """Forms within the radius; what was searched lately is remembered, as many spellings have one base."""
+        if radius == 0:
+            return [(base, 0)] * (base in self.by_form[scope])
+        at = (scope, base, radius)
+        if at not in self._lately:
+            if len(self._lately) >= 50_000:
+                self._lately.clear()
+            self._lately[at] = self.trees[scope].within(base, radius)
+        return self._lately[at]
+
     def search(self, scope: str | None, text: str, loose: float = 0.34, most: int = 6) -> list[tuple[int, int, bool, float, float]]:
         """Candidates (id, edits, same addition, x, y): every entry with a form within the radius, at its least distance."""
         base, addition, named = split_value(text, self.spelling, self.scopes)
@@ -262,7 +274,7 @@ class Reference:
             return []
         best: dict[int, tuple] = {}
         for radius in (0, 1, min(most, int(len(base) * loose))):  # a wider search only where the narrower finds none with the addition
-            for form, d in self.trees[s].within(base, radius) if radius else [(base, 0)] * (base in self.by_form[s]):
+            for form, d in self._forms(s, base, radius):
                 for e in self.by_form[s][form]:
                     c = (d + (0 if form == e.base else 0.25), e.id, e.addition == addition, e.x, e.y)
                     if e.id not in best or c < best[e.id]:
@@ -280,6 +292,9 @@ def candidates(values: DataFrame, scope: str, value: str, entries: list[tuple],
     """``(scope, value, candidates)`` for every distinct pair: the entries within the radius of the value."""
     spark = values.sparkSession
     distinct = values.select(F.col(scope).cast("string").alias("scope"), F.col(value).cast("string").alias("value")).distinct()
+    # a search costs far more than the few bytes it reads: small partitions, by number so that they aren't put together
+    slices = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    distinct = distinct.repartition(slices, "value")
     parts = None
     for k in range(0, max(1, len(entries)), shard_entries):
         shared = spark.sparkContext.broadcast(Reference(entries[k : k + shard_entries], spelling))
