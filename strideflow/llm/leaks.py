@@ -70,10 +70,15 @@ def _table() -> np.ndarray:
     return _TABLE
 
 
+def folded(cp: np.ndarray) -> np.ndarray:
+    """The codes of code points; those outside the basic plane are dropped (0)."""
+    return _table()[np.minimum(cp, 0xFFFF)]
+
+
 def letters(text: str) -> np.ndarray:
     """The stream of folded letters and digits; characters outside the basic plane are dropped."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = _table()[np.minimum(cp, 0xFFFF)]
+    code = folded(cp)
     return code[code > 0]
 
 
@@ -215,7 +220,7 @@ class ItemIndex:
         """(text, item) pairs with a retained band."""
         joined = "\x00".join(texts)
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = _table()[np.minimum(cp, 0xFFFF)]
+        code = folded(cp)
         used = np.flatnonzero(code)
         s = code[used]
         h = gram_hashes(s)

@@ -21,41 +21,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideflow.llm.leaks import folded
 from strideflow.llm.tokens import VOCABULARY, Tokenizer, tokenizer
 
 #: What a boundary's kind adds to the depth of its valley.
 KINDS = (("section", 1.5), ("paragraph", 0.6), ("row", 0.25), ("sentence", 0.0))
 #: Units in the blocks on either side of a gap.
 BLOCK = 3
-_GAP = re.compile(r"(?P<section>(?:\r\n|\r|\n)\s*(?==))|(?P<paragraph>(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*)|(?P<row>(?:\r\n|\r|\n)[ \t]*)|(?P<sentence>(?<=[.!?…])[\"'’”)\]]*[ \t]+(?=\S)|(?<=[。！？])(?=\S))")
-_WORD = re.compile(r"[^\W_]+")
+_GAP = re.compile(r"[\r\n]\s*|[.!?…][\"'’”)\]]*[ \t]+(?=\S)|[。！？](?=\S)")
+_BREAK = re.compile(r"\r\n|\r|\n")
 _BLANK = re.compile(r"\s+")
+#: Code points that the vocabulary's pattern takes for blanks.
+_SPACES = np.zeros(0x3001, bool)
+_SPACES[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
 
 def boundaries(text: str) -> list[tuple[int, str]]:
     """(position, kind) of the natural boundaries: where the next unit begins."""
-    return [(m.end(), m.lastgroup) for m in _GAP.finditer(text) if 0 < m.end() < len(text)]
-
-
-def valley_depths(units: list[str], block: int = BLOCK) -> list[float]:
+    out = []
+    for m in _GAP.finditer(text):
+        end = m.end()
+        if end >= len(text):
+            continue
+        if text[m.start()] not in "\r\n":
+            out.append((end, "sentence"))
+        elif text[end] == "=":
+            out.append((end, "section"))
+        else:
+            gap = m[0]
+            out.append((end, "paragraph" if len(gap) > 1 and len(_BREAK.findall(gap)) > 1 else "row"))
+    return out
+
+
+def word_hashes(cp: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word's folded letters and the unit that it is in."""
+    code = folded(cp).astype(np.uint64)
+    letter = code > 0
+    first = letter & ~np.concatenate([[False], letter[:-1]])
+    at = np.flatnonzero(first)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    used = np.flatnonzero(letter)
+    word = np.cumsum(first)[used] - 1
+    place = (used - at[word]).astype(np.uint64)
+    mixed = (code[used] + np.uint64(0x9E37)) * (place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xBF58476D1CE4E5B9))
+    mixed ^= mixed >> np.uint64(29)
+    sums = np.add.reduceat(mixed, np.searchsorted(used, at))
+    return (sums >> np.uint64(1)).astype(np.int64), np.searchsorted(cuts, at, "right") - 1
+
+
+def valley_depths(cp: np.ndarray, cuts: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """For each gap between two units how far the blocks' similarity lies below the next peaks on either side.
 
-    The blocks' dot products and norms are sums over a band of the units' own
-    dot products, which only pairs of units with a common word add to.
+    ``cp`` are the text's code points, unit k reaches from ``cuts[k]`` to
+    ``cuts[k + 1]``.  The blocks' dot products and norms are sums over a band
+    of the units' own dot products, which only pairs of units with a common
+    word add to.
     """
-    n = len(units) - 1
+    units = len(cuts) - 1
+    n = units - 1
     if n < 1:
-        return []
-    ids: dict[str, int] = {}
-    words, sizes = [], []
-    for u in units:
-        found = _WORD.findall(u.lower())
-        sizes.append(len(found))
-        words += [ids.setdefault(w, len(ids)) for w in found]
+        return np.zeros(0)
+    hashed, where = word_hashes(cp, cuts)
+    _, words = np.unique(hashed, return_inverse=True)
     width = 2 * block
-    key, count = np.unique(np.array(words, np.int64) * len(units) + np.repeat(np.arange(len(units)), sizes), return_counts=True)
-    word, unit = np.divmod(key, len(units))
-    band = np.zeros((width, len(units) + width))  # band[d, i]: product of units i and i + d
+    key, count = np.unique(words.astype(np.int64) * units + where, return_counts=True)
+    word, unit = np.divmod(key, units)
+    band = np.zeros((width, units + width))  # band[d, i]: product of units i and i + d
     for k in range(min(width, len(key))):
         d = unit[k:] - unit[: len(key) - k]
         ok = (word[k:] == word[: len(key) - k]) & (d < width)
@@ -80,7 +112,7 @@ def valley_depths(units: list[str], block: int = BLOCK) -> list[float]:
     for i in range(n - 2, -1, -1):
         if similar[i + 1] >= similar[i]:
             up_right[i] = up_right[i + 1]
-    return [up_left[i] + up_right[i] - 2 * similar[i] for i in range(n)]
+    return np.array(up_left) + np.array(up_right) - 2 * np.array(similar)
 
 
 def split_text(text: str | None, tok: Tokenizer, limit: int, overlap: int, least: float = 0.4) -> list[tuple[int, int, int, int, str]]:
@@ -99,8 +131,8 @@ def split_text(text: str | None, tok: Tokenizer, limit: int, overlap: int, least
         return [(0, len(text), len(tokens), 0, "end")]
     ends = np.cumsum(tok.widths[tokens])
     ascii_ = text.isascii()
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not ascii_:
-        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         bytes_before = np.concatenate([[0], np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))])
 
     def token_at(chars):
@@ -113,10 +145,22 @@ def split_text(text: str | None, tok: Tokenizer, limit: int, overlap: int, least
         b = int(ends[token - 1]) if token else 0
         return b if ascii_ else int(np.searchsorted(bytes_before, b, "left"))
 
+    # at a single blank between two other characters the words' pattern always cuts: what is encoded on either side doesn't depend on the other
+    blank = _SPACES[np.minimum(cp, 0x3000)]
+    firm = np.flatnonzero((cp[1:-1] == 32) & ~blank[:-2] & ~blank[2:]) + 1
+    plain = not tok.has_long_run(text)
+
+    def count(a: int, b: int) -> int:
+        """Tokens of the stretch encoded by itself: its ends are encoded, what is between firm cuts was counted."""
+        i, j = np.searchsorted(firm, a, "right"), np.searchsorted(firm, b, "left") - 1
+        if not plain or j <= i:
+            return tok.count(text[a:b])
+        p, q = int(firm[i]), int(firm[j])
+        return tok.count(text[a:p]) + int(token_at(q)) - int(token_at(p)) + tok.count(text[q:b])
+
     marks = boundaries(text)
     at = np.array([p for p, _ in marks], int)
-    cuts = [0, *at.tolist(), len(text)]
-    depth = np.array(valley_depths([text[a:b] for a, b in zip(cuts, cuts[1:])]))
+    depth = valley_depths(cp, np.array([0, *at.tolist(), len(text)]))
     bonus = dict(KINDS)
     worth = depth + np.array([bonus[k] for _, k in marks]) if marks else np.zeros(0)
     mark_token = token_at(at) if len(at) else np.zeros(0, int)
@@ -124,8 +168,8 @@ def split_text(text: str | None, tok: Tokenizer, limit: int, overlap: int, least
     start, fresh = 0, 0  # where the piece begins, and what of it is new
     while True:
         first = int(token_at(start))
-        if len(tokens) - first <= limit and (n := tok.count(text[start:])) <= limit:
-            out.append((start, len(text), n, tok.count(text[start:fresh]), "end"))
+        if len(tokens) - first <= limit and (n := count(start, len(text))) <= limit:
+            out.append((start, len(text), n, count(start, fresh), "end"))
             return out
         room = limit
         while True:
@@ -143,7 +187,7 @@ def split_text(text: str | None, tok: Tokenizer, limit: int, overlap: int, least
                 if back and back[-1] > fresh and back[-1] < len(text):
                     end, kind = back[-1], "word"
                 end = max(end, fresh + 1)
-            n = tok.count(text[start:end])
+            n = count(start, end)
             if n <= limit or (end == fresh + 1 and start == fresh):
                 break
             if room <= 1 or (end == fresh + 1):  # nothing new fits beside the overlap: drop the overlap
@@ -151,7 +195,7 @@ def split_text(text: str | None, tok: Tokenizer, limit: int, overlap: int, least
                 first = int(token_at(start))
             else:
                 room -= max(1, n - limit)
-        out.append((start, end, n, tok.count(text[start:fresh]) if fresh > start else 0, kind))
+        out.append((start, end, n, count(start, fresh) if fresh > start else 0, kind))
         fresh = end
         start = min(end, max(char_at(max(int(token_at(end)) - overlap, 0)), out[-1][0] + 1)) if overlap else end
 

@@ -30,8 +30,11 @@ class Tokenizer:
         for token, rank in ranks.items():
             self.widths[rank] = len(token)
 
+    def has_long_run(self, text: str) -> bool:
+        return len(text) > RUN and bool(_LONG.search(text))
+
     def encode(self, text: str) -> list[int]:
-        if len(text) <= RUN or not _LONG.search(text):
+        if not self.has_long_run(text):
             return self._encoding.encode_ordinary(text)
         out, at = [], 0
         for m in _LONG.finditer(text):
