@@ -110,32 +110,42 @@ def _open(ring) -> np.ndarray:
     return p[:-1] if len(p) > 1 and (p[0] == p[-1]).all() else p
 
 
+def _in_cone(before, at, after, m) -> bool:
+    """Whether the way from corner ``at`` of a ring (inside on the left) to ``m`` starts inwards."""
+    if _side(before, at, after) >= 0:
+        return _side(at, m, before) > 0 and _side(m, at, after) > 0
+    return not (_side(at, m, after) >= 0 and _side(m, at, before) >= 0)
+
+
+def _free(m, p, c: np.ndarray, d: np.ndarray) -> bool:
+    """Whether the way between two corners neither crosses nor touches any of the edges, but at its ends."""
+    x, y = p[0] - m[0], p[1] - m[1]
+    side = lambda q: x * (q[:, 1] - m[1]) - y * (q[:, 0] - m[0])
+    s1, s2 = side(c), side(d)
+    ex, ey = d[:, 0] - c[:, 0], d[:, 1] - c[:, 1]
+    t1 = ex * (m[1] - c[:, 1]) - ey * (m[0] - c[:, 0])
+    t2 = ex * (p[1] - c[:, 1]) - ey * (p[0] - c[:, 0])
+    if ((s1 * s2 < 0) & (t1 * t2 < 0)).any():
+        return False
+    within = (s1 == 0) & ((c[:, 0] - m[0]) * (c[:, 0] - p[0]) + (c[:, 1] - m[1]) * (c[:, 1] - p[1]) < 0)
+    return not within.any()
+
+
 def _bridged(outer: list, holes: list[list]) -> list:
-    """The outer ring with every hole cut open to it, from the rightmost hole leftwards."""
-    for hole in sorted(holes, key=lambda h: -max(p[0] for p in h)):
-        k = max(range(len(hole)), key=lambda i: hole[i][0])
+    """The outer ring with every hole cut open to the nearest corner that sees it, from the rightmost hole leftwards."""
+    rest = sorted(holes, key=lambda h: (-max(p[0] for p in h), min(map(tuple, h))))
+    for n, hole in enumerate(rest):
+        k = max(range(len(hole)), key=lambda i: (hole[i][0], hole[i][1]))
         m = hole[k]
-        at, best = None, np.inf
-        for i in range(len(outer)):  # the edge a ray to the right hits first
-            a, b = outer[i], outer[(i + 1) % len(outer)]
-            if (a[1] <= m[1] <= b[1] or b[1] <= m[1] <= a[1]) and a[1] != b[1]:
-                x = a[0] + (m[1] - a[1]) * (b[0] - a[0]) / (b[1] - a[1])
-                if m[0] <= x < best:
-                    best, at = x, i if a[0] > b[0] else (i + 1) % len(outer)
-        if at is None:
-            continue
-        hit, p = (best, m[1]), outer[at]
-        if tuple(hit) != tuple(p):  # a reflex corner inside the triangle m, hit, p hides p: take the one of least angle
-            inside = []
-            t = (m, hit, p) if _side(m, hit, p) > 0 else (m, p, hit)
-            for i, v in enumerate(outer):
-                if v is p or tuple(v) == tuple(p):
-                    continue
-                if _side(outer[i - 1], v, outer[(i + 1) % len(outer)]) < 0 and all(_side(t[j], t[(j + 1) % 3], v) >= 0 for j in range(3)):
-                    inside.append((abs(v[1] - m[1]) / max(v[0] - m[0], 1e-12), v[0] - m[0], i))
-            if inside:
-                at = min(inside)[2]
-        outer = outer[: at + 1] + hole[k:] + hole[: k + 1] + outer[at:]
+        rings = [outer, *rest[n:]]
+        c = np.array([p for r in rings for p in r], float)
+        d = np.array([p for r in rings for p in (*r[1:], r[0])], float)
+        o = np.array(outer, float)
+        for at in np.argsort((o[:, 0] - m[0]) ** 2 + (o[:, 1] - m[1]) ** 2, kind="stable"):
+            at = int(at)
+            if tuple(outer[at]) == tuple(m) or (_in_cone(outer[at - 1], outer[at], outer[(at + 1) % len(outer)], m) and _in_cone(hole[k - 1], m, hole[(k + 1) % len(hole)], outer[at]) and _free(m, outer[at], c, d)):
+                outer = outer[: at + 1] + hole[k:] + hole[: k + 1] + outer[at:]
+                break
     return outer
 
 
