@@ -267,9 +267,10 @@ class Reference:
     def search(self, scope: str | None, text: str, loose: float = 0.34, most: int = 6) -> list[tuple[int, int, bool, float, float]]:
         """Candidates (id, edits, same addition, x, y): every entry with a form within the radius, at its least distance."""
         base, addition, named = split_value(text, self.spelling, self.scopes)
-        s = fold(scope or "").strip() or named or ""
-        if s not in self.trees:
-            s = ""
+        s = fold(scope or "").strip()
+        s = s if s in self.trees else named or ""
+        if s not in self.trees:  # an empty reference list
+            return []
         if len(base) < 4:
             return []
         best: dict[int, tuple] = {}
