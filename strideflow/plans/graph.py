@@ -72,8 +72,9 @@ def collect_graph(edges: DataFrame, most: int = MAX_EDGES) -> Graph:
 
 
 def _spread(sources: DataFrame) -> DataFrame:
+    """The sources in as many partitions as there is work for, whatever their few bytes suggest."""
     n = max(sources.sparkSession.sparkContext.defaultParallelism, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sources.repartition(n, sources.columns[0])
+    return sources.repartition(n, F.xxhash64(sources.columns[0]))
 
 
 def od_matrix(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
