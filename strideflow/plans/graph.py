@@ -100,6 +100,29 @@ def od_matrix(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     return _spread(sources.select("node_id").distinct()).mapInPandas(run, "origin bigint, destination bigint, seconds double, metres double")
 
 
+def paths(edges: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
+    """``(origin, destination, left, link_id, direction, u, v)``: the edges of the fastest way of every pair, ``left`` counting those still to go."""
+    shared = edges.sparkSession.sparkContext.broadcast(collect_graph(edges))
+    per_origin = pairs.select("origin", "destination").distinct().groupBy("origin").agg(F.collect_set("destination").alias("to"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = shared.value
+        for b in batches:
+            out: list[tuple] = []
+            for node, to in zip(b["origin"], b["to"]):
+                i = g.index(node)
+                _, dist, edge = g.search({i: 0.0}, limit) if i >= 0 else ([], {}, {})
+                for dest in to:
+                    n, left = g.index(dest), 0
+                    while n in edge and n != i:
+                        e = edge[n]
+                        out.append((node, dest, left, int(g.link[e]), int(g.direction[e]), int(g.ids[g.tail[e]]), int(g.ids[n])))
+                        n, left = int(g.tail[e]), left + 1
+            yield pd.DataFrame(out, columns=["origin", "destination", "left", "link_id", "direction", "u", "v"])
+
+    return _spread(per_origin).mapInPandas(run, "origin bigint, destination bigint, left int, link_id bigint, direction int, u bigint, v bigint")
+
+
 def relational_matrix(edges: DataFrame, sources: DataFrame, limit: float, rounds: int = 200) -> DataFrame:
     """The seconds of :func:`od_matrix` by frontier relaxation with joins: no broadcast of the network."""
     best = cut(sources.select(F.col("node_id").alias("origin"), F.col("node_id").alias("destination"), F.lit(0.0).alias("seconds")).distinct())

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideflow.functions import speeds as sp
 from strideflow.operators.nearness import nearest_within, pairs_within, regions_of_points
 from strideflow.plans import graph as G
-from strideflow.plans.lineage import cut
+from strideflow.plans.lineage import cut, shared_folder
 from strideflow.plans.links import network, normalise, read_links
 from strideflow.queries.data import _IN
-from strideflow.queries.links import _NODES, _NORM, net_sql
+from strideflow.queries.links import _COST, _NORM, _SHARED, _TRAFFIC, _case, net_sql
+from strideflow.sources.files import read_network, read_points, write_network
 from strideflow.sources.tables import read_table
 
 R = lambda c, n=4: F.round(c, n)
@@ -198,6 +202,119 @@ def j01_point_demand(s, d):
     return x.groupBy("a").agg(R(F.sum(F.col("demand") * F.col("wa") * F.col("wb")), 6).alias("demand"))
 
 
+def i18_paths(s, d):
+    """The links of the fastest ways from every fiftieth node."""
+    net, m = _matrix(s, d)
+    return G.paths(net, m.where("origin % 50 = 0 and origin <> destination").select("origin", "destination"), LIMIT).select("origin", "destination", "left", "link_id", "direction")
+
+
+def e14_route_stretches(s, d):
+    """Stretches of one highway class along these ways: consecutive links of a class are one."""
+    net, m = _matrix(s, d)
+    p = G.paths(net, m.where("origin % 50 = 0 and origin <> destination").select("origin", "destination"), LIMIT)
+    h = normalise(read_links(s, d)).select("link_id", F.coalesce("highway", F.lit("")).alias("class"), "length_m")
+    w = Window.partitionBy("origin", "destination").orderBy(F.desc("left"))
+    j = p.join(h, "link_id").withColumn("new", F.when(F.lag("class").over(w).eqNullSafe(F.col("class")), 0).otherwise(1))
+    k = j.withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return k.groupBy("origin", "destination", "stretch").agg(F.first("class").alias("class"), R(F.sum("length_m"), 3).alias("metres"))
+
+
+def i14_two_tier_volumes(s, d):
+    """Demand assigned within one minute, and what that misses within two; the volumes of both."""
+    net, dem = _demand(s, d)
+    dem = cut(dem)
+    near = cut(G.assign(net, dem, LIMIT / 2))
+    missed = near.where("kind = 'missed'").select("origin", "destination", F.col("value").alias("demand"))
+    far = G.assign(net, missed, LIMIT)
+    both = G.link_volumes(near).unionByName(G.link_volumes(far))
+    return both.groupBy("link_id", "direction", "u", "v").agg(R(F.sum("volume")).alias("volume"))
+
+
+def d39_select_link_totals(s, d):
+    """The selected links' demand by origin and by destination."""
+    v = cut(i13_select_link(s, d))
+    o = v.groupBy(F.col("origin").alias("node_id")).agg(F.sum("demand").alias("as_origin"))
+    e = v.groupBy(F.col("destination").alias("node_id")).agg(F.sum("demand").alias("as_destination"))
+    return o.join(e, "node_id", "full_outer").select("node_id", F.coalesce("as_origin", F.lit(0.0)).alias("as_origin"), F.coalesce("as_destination", F.lit(0.0)).alias("as_destination"))
+
+
+def c29_candidate_pairs(s, d):
+    """Pairs that can use a node whose id divides by 97 within two minutes: the way there and on from there is no longer."""
+    _, m = _matrix(s, d)
+    m = cut(m.select("origin", "destination", "seconds"))
+    to, on = m.where("destination % 97 = 0").select("origin", F.col("destination").alias("via"), F.col("seconds").alias("s1")), m.where("origin % 97 = 0").select(F.col("origin").alias("via"), "destination", F.col("seconds").alias("s2"))
+    return to.join(on, "via").where((F.col("s1") + F.col("s2") <= LIMIT) & (F.col("origin") != F.col("destination"))).select("origin", "destination").distinct()
+
+
+def d32_municipality_speed(s, d):
+    """Volume-weighted speed by the municipality of the link's middle, and for all of them."""
+    net, dem = _demand(s, d)
+    vol = G.link_volumes(G.assign(net, dem, LIMIT)).select("link_id", "direction", "volume")
+    links = normalise(read_links(s, d))
+    mid = lambda c: (F.element_at("geometry", 1)[c] + F.element_at("geometry", -1)[c]) / 2
+    z = regions_of_points(links.select("link_id", mid("x").alias("x"), mid("y").alias("y")), "link_id", read_table(s, d, "municipality_polygons", ["municipality_id", "rings"]), "municipality_id").select(F.col("id").alias("link_id"), F.col("region").alias("municipality_id"))
+    j = vol.join(net.select("link_id", F.col("direction").cast("int").alias("direction"), "length_m", "travel_time_s"), ["link_id", "direction"]).join(z, "link_id")
+    return j.rollup("municipality_id").agg(R(F.sum(F.col("volume") * F.col("length_m")) / F.sum(F.col("volume") * F.col("travel_time_s")) * 3.6).alias("kmh"), F.count_distinct("link_id").alias("links"))
+
+
+def j06_gravity_demand(s, d):
+    """A thousand trips between the cells' centres within 30 km, by their street lengths and exp(-distance / 5 km)."""
+    n = _weighted_nodes(s, d).withColumns({"cx": F.floor(F.col("x") / 1500), "cy": F.floor(F.col("y") / 1500)})
+    c = cut(n.groupBy("cx", "cy").agg(F.sum("w").alias("p"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y")).withColumn("zone", (F.col("cx") * 100000 + F.col("cy")).cast("bigint")))
+    near = pairs_within(c, "zone", 30_000.0)
+    a, b = c.select(F.col("zone").alias("a_id"), F.col("p").alias("pa"), F.col("x").alias("ax"), F.col("y").alias("ay")), c.select(F.col("zone").alias("b_id"), F.col("p").alias("pb"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    t = near.join(a, "a_id").join(b, "b_id").withColumn("t", F.col("pa") * F.col("pb") * F.exp(-F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) / 5000))
+    whole = t.agg(F.sum("t").alias("all"))
+    return t.crossJoin(F.broadcast(whole)).select("a_id", "b_id", R(F.col("t") / F.col("all") * 1000, 5).alias("trips"))
+
+
+def f03_heaviest_nodes(s, d):
+    """The three nodes of every municipality with the most street length."""
+    n = cut(_weighted_nodes(s, d))
+    z = c08_zone_of_nodes(s, d)
+    w = Window.partitionBy("zone").orderBy(F.desc(F.round("w", 4)), "node_id")
+    return n.join(z, "node_id").withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("zone", "rank", "node_id", R("w").alias("w"))
+
+
+def f04_largest_polygon(s, d):
+    """Every municipality's largest polygon by its box."""
+    t = read_table(s, d, "municipality_polygons", ["polygon_id", "municipality_id", "rings"])
+    o = F.element_at("rings", 1)
+    box = (F.array_max(o["x"]) - F.array_min(o["x"])) * (F.array_max(o["y"]) - F.array_min(o["y"]))
+    return t.groupBy("municipality_id").agg(F.max(F.struct(F.round(box, 3).alias("a"), (-F.col("polygon_id")).alias("k"))).alias("m")).select("municipality_id", (-F.col("m.k")).alias("polygon_id"))
+
+
+def c21_stitched_nodes(s, d):
+    """Two overlapping halves of the nodes put together, each node once as its first position."""
+    n = read_table(s, d, "nodes").where("x is not null and y is not null")
+    both = n.where("x < 300000").unionByName(n.where("x >= 250000"))
+    return both.groupBy("node_id").agg(F.min(F.struct("node_index", "x", "y")).alias("m")).select("node_id", "m.node_index", "m.x", "m.y")
+
+
+def a11_point_file(s, d):
+    """The centroids through a CSV file with semicolons."""
+    c = read_table(s, d, "centroids", ["centroid_id", "x", "y"]).where("x is not null and y is not null").distinct()
+    path = f"{shared_folder(s)}/points-{uuid.uuid4().hex}"
+    c.write.csv(path, header=True, sep=";")
+    return read_points(s, path, "centroid_id").select(F.col("id").cast("bigint").alias("centroid_id"), "x", "y")
+
+
+def a23_network_file(s, d):
+    """The network through its stored form."""
+    path = f"{shared_folder(s)}/network-{uuid.uuid4().hex}"
+    write_network(network(s, d, sp.BIKE), path, "bike")
+    return read_network(s, path, "bike").select("u", "v", "link_id", F.col("direction").cast("int").alias("direction"))
+
+
+def d41_cost_causes(s, d):
+    """How much of each link's bike time comes from surface, carriageway, shared path and traffic: shares of the logarithm of its slow-down."""
+    t = read_table(s, d, "links", ["link_row", "highway", "surface", "segregated", "car_volume"])
+    cost = sp.disutility(F.col("highway"))
+    part = {"surface": sp.lookup(sp.BIKE_SURFACE, F.col("surface"), 1.0), "carriageway": 1 / F.greatest(cost / sp.REFERENCE_COST, F.lit(1.0)), "shared": sp.shared_path(F.col("highway"), F.col("segregated")), "traffic": sp.traffic_factor(cost, F.col("car_volume"))}
+    logs = t.select("link_row", *[(-F.log(v)).alias(k) for k, v in part.items()]).withColumn("all", sum((F.col(k) for k in list(part)[1:]), F.col("surface")))
+    return logs.where("all > 1e-12").select("link_row", *[R(F.col(k) / F.col("all"), 6).alias(k) for k in part])
+
+
 def c06_snap_statistics(s, d):
     """Centroids with and without a node within 100 m, and the median distance."""
     c = read_table(s, d, "centroids", ["centroid_id", "x", "y"]).where("x is not null and y is not null").distinct()
@@ -236,6 +353,19 @@ SQL = {
     "i07_zone_matrix": f"WITH RECURSIVE {_DIST}, {_ZP} SELECT origin, destination, round(num / den, 3) AS seconds, round(den / whole, 6) AS fraction FROM zs",
     "i07_gated_zone_matrix": f"WITH RECURSIVE {_DIST}, {_ZP} SELECT origin, destination, round(num / den, 3) AS seconds FROM zs WHERE den / whole >= 0.3 - 1e-9",
     "j01_point_demand": f"WITH RECURSIVE {_DIST}, {_ZP} SELECT p.node_id AS a, round(sum(10.0 * p.weight), 6) AS demand FROM zs JOIN zp p ON p.zone = origin WHERE origin <> destination GROUP BY 1",
+    "i18_paths": f"WITH RECURSIVE {_DIST} SELECT w.src AS origin, w.dest AS destination, w.hops AS \"left\", p.e[3] AS link_id, CAST(p.e[4] AS INTEGER) AS direction FROM walk w JOIN pred p ON p.src = w.src AND p.node = w.node WHERE w.src % 50 = 0",
+    "e14_route_stretches": f"WITH RECURSIVE {_DIST}, st AS (SELECT w.src, w.dest, w.hops, coalesce(n.highway, '') AS class, n.length_m FROM walk w JOIN pred p ON p.src = w.src AND p.node = w.node JOIN norm n ON n.link_id = p.e[3] WHERE w.src % 50 = 0), ch AS (SELECT *, CASE WHEN lag(class) OVER (PARTITION BY src, dest ORDER BY hops DESC) = class THEN 0 ELSE 1 END AS fresh FROM st), k AS (SELECT *, sum(fresh) OVER (PARTITION BY src, dest ORDER BY hops DESC) AS stretch FROM ch) SELECT src AS origin, dest AS destination, CAST(stretch AS BIGINT) AS stretch, any_value(class) AS class, round(sum(length_m), 3) AS metres FROM k GROUP BY 1, 2, 3",
+    "i14_two_tier_volumes": f"WITH RECURSIVE {_DIST}, {_USED} SELECT e[3] AS link_id, CAST(e[4] AS INTEGER) AS direction, e[1] AS u, node AS v, round(sum(demand), 4) AS volume FROM used JOIN dem USING (src, dest) GROUP BY 1, 2, 3, 4",
+    "d39_select_link_totals": f"WITH RECURSIVE {_DIST}, {_USED}, via AS (SELECT DISTINCT src, dest FROM used WHERE e[3] % 97 = 0), vd AS (SELECT src, dest, demand FROM via JOIN dem USING (src, dest)), o AS (SELECT src AS node_id, sum(demand) AS x FROM vd GROUP BY 1), q AS (SELECT dest AS node_id, sum(demand) AS x FROM vd GROUP BY 1) SELECT coalesce(o.node_id, q.node_id) AS node_id, coalesce(o.x, 0) AS as_origin, coalesce(q.x, 0) AS as_destination FROM o FULL JOIN q ON o.node_id = q.node_id",
+    "c29_candidate_pairs": f"WITH RECURSIVE {_DIST} SELECT DISTINCT a.src AS origin, b.node AS destination FROM dist a JOIN dist b ON a.node = b.src WHERE a.node % 97 = 0 AND a.d + b.d <= {LIMIT} AND a.src <> b.node",
+    "d32_municipality_speed": f"WITH RECURSIVE {_DIST}, {_USED}, vol AS (SELECT e[3] AS link_id, e[4] AS direction, sum(demand) AS volume FROM used JOIN dem USING (src, dest) GROUP BY 1, 2), pts AS (SELECT link_id AS centroid_id, (geometry[1].x + geometry[-1].x) / 2 AS x, (geometry[1].y + geometry[-1].y) / 2 AS y FROM norm), {_IN.strip().replace("edges", "ring_edges")}, zo AS (SELECT centroid_id AS link_id, min(municipality_id) AS municipality_id FROM inside GROUP BY 1) SELECT municipality_id, round(sum(volume * length_m) / sum(volume * travel_time_s) * 3.6, 4) AS kmh, count(DISTINCT link_id) AS links FROM vol JOIN net USING (link_id, direction) JOIN zo USING (link_id) GROUP BY ROLLUP (municipality_id)",
+    "j06_gravity_demand": f"WITH {_WN}, c AS (SELECT CAST(floor(x / 1500) * 100000 + floor(y / 1500) AS BIGINT) AS zone, sum(w) AS p, sum(w * x) / sum(w) AS x, sum(w * y) / sum(w) AS y FROM pts GROUP BY 1), t AS (SELECT a.zone AS a_id, b.zone AS b_id, a.p * b.p * exp(-sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 5000) AS t FROM c a JOIN c b ON a.zone < b.zone WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 900000000) SELECT a_id, b_id, round(t / sum(t) OVER () * 1000, 5) AS trips FROM t",
+    "f03_heaviest_nodes": f"WITH {_WN}, r AS (SELECT zone, centroid_id AS node_id, w, row_number() OVER (PARTITION BY zone ORDER BY round(w, 4) DESC, centroid_id) AS rank FROM pts JOIN zo USING (centroid_id)) SELECT zone, CAST(rank AS INTEGER) AS rank, node_id, round(w, 4) AS w FROM r WHERE rank <= 3",
+    "f04_largest_polygon": "WITH b AS (SELECT municipality_id, polygon_id, round((list_max(list_transform(rings[1], lambda p: p.x)) - list_min(list_transform(rings[1], lambda p: p.x))) * (list_max(list_transform(rings[1], lambda p: p.y)) - list_min(list_transform(rings[1], lambda p: p.y))), 3) AS a FROM municipality_polygons) SELECT municipality_id, -max((a, -polygon_id))[2] AS polygon_id FROM b GROUP BY 1",
+    "c21_stitched_nodes": "SELECT node_id, m[1] AS node_index, m[2] AS x, m[3] AS y FROM (SELECT node_id, min((node_index, x, y)) AS m FROM nodes WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1)",
+    "a11_point_file": "SELECT DISTINCT centroid_id, x, y FROM centroids WHERE x IS NOT NULL AND y IS NOT NULL",
+    "a23_network_file": f"WITH {net_sql(sp.BIKE)} SELECT u, v, link_id, CAST(direction AS INTEGER) AS direction FROM net",
+    "d41_cost_causes": f"WITH l AS (SELECT link_row, -ln({_case(sp.BIKE_SURFACE, 'surface', '1.0')}) AS surface, ln(greatest({_COST} / {sp.REFERENCE_COST}, 1.0)) AS carriageway, -ln({_SHARED}) AS shared, -ln({_TRAFFIC}) AS traffic FROM links) SELECT link_row, round(surface / a, 6) AS surface, round(carriageway / a, 6) AS carriageway, round(shared / a, 6) AS shared, round(traffic / a, 6) AS traffic FROM (SELECT *, surface + carriageway + shared + traffic AS a FROM l) WHERE a > 1e-12",
     "d11_cell_centroids": f"WITH {_CELLS} SELECT zone, cx, cy, round(w, 3) AS w, round(x, 2) AS x, round(y, 2) AS y FROM cell",
     "c08_zone_of_nodes": f"WITH {_WN} SELECT centroid_id AS node_id, zone FROM zo",
     "c09_links_by_municipality": f"WITH pts AS (SELECT link_row AS centroid_id, (geometry[1].x + geometry[-1].x) / 2 AS x, (geometry[1].y + geometry[-1].y) / 2 AS y FROM links WHERE len(geometry) > 1), {_IN.strip()}, zo AS (SELECT centroid_id, min(municipality_id) AS municipality_id FROM inside GROUP BY 1) SELECT municipality_id, count(*) AS links FROM zo GROUP BY 1",
