@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strideflow.plans.lineage import cut, drop_cut
 
 #: Values of one group left at which they are put together in one task.
-FINISH = 4096
+FINISH = 16_384
 #: Rows that one task sorts at a time; a larger partition gives several runs per group.
 RUN_ROWS = 2_000_000
 _RUN = "grp bigint, measure string, vals array<double>, wts array<bigint>"
@@ -182,8 +182,10 @@ def select(run_table: DataFrame, quantiles: list[float], least: int = 1, finish:
         small = state.where(F.col("left") <= finish)
         live = state.where(F.col("left") > finish)
         source = held.join(state.select("grp", "measure", "q"), ["grp", "measure"]) if first else held.join(state.select(*_KEYS), _KEYS)
-        done.append(cut(source.select(*_KEYS, "vals", "wts").join(small.select(*_KEYS, "rank", "both", "upper"), _KEYS).groupBy(*_KEYS).applyInArrow(_together, "grp bigint, measure string, q double, low double, high double")))
-        if live.isEmpty():
+        counts = state.agg(F.count_if(F.col("left") <= finish).alias("small"), F.count_if(F.col("left") > finish).alias("live")).first()
+        if counts.small:
+            done.append(cut(source.select(*_KEYS, "vals", "wts").join(small.select(*_KEYS, "rank", "both", "upper"), _KEYS).groupBy(*_KEYS).applyInArrow(_together, "grp bigint, measure string, q double, low double, high double")))
+        if not counts.live:
             break
         active = source.select(*_KEYS, "vals", "wts").join(live.select(*_KEYS), _KEYS)
         proposals = active.mapInArrow(_first_targets, "grp bigint, measure string, q double, mid double, w bigint")
@@ -200,19 +202,21 @@ def select(run_table: DataFrame, quantiles: list[float], least: int = 1, finish:
             *_KEYS, F.when(hit, F.col("pivot")).otherwise(F.col("below")).alias("low"),
             F.when(~F.col("both"), F.when(hit, F.col("pivot")).otherwise(F.col("below"))).when(hit, F.when(F.col("rank") + 1 < le, F.col("pivot")).otherwise(next_up)).otherwise(F.when(F.col("same") > 0, F.col("pivot")).otherwise(next_up)).alias("high"),
         )
-        done.append(cut(found))
+        done.append(found)
         go_on = judged.where(~(hit | (edge & F.col("both"))))
         down = F.col("rank") < F.col("less")
-        next_state = cut(go_on.select(
+        next_state = go_on.select(
             *_KEYS, "n", F.when(down, F.col("rank")).otherwise(F.col("rank") - le).alias("rank"), "part",
             F.when(down, F.col("less")).otherwise(F.col("left") - le).alias("left"),
             F.when(down, F.when(F.col("same") > 0, F.col("pivot")).otherwise(next_up)).otherwise(F.col("upper")).alias("upper"), "both",
             "pivot", F.when(down, -1).otherwise(1).alias("side"),
-        ))
+        )
         kept = active.join(next_state.select(*_KEYS, "pivot", "side"), _KEYS).select(*_KEYS, "vals", "wts", "pivot", "side").mapInArrow(_discard, "grp bigint, measure string, q double, vals array<double>, wts array<bigint>")
         narrowed = cut(kept)
         drop_cut(held)
         held, first, state = narrowed, False, next_state.drop("pivot", "side")
+    if not done:
+        return totals.select("grp", "measure", F.lit(0.0).alias("q"), "n", F.lit(0.0).alias("value")).limit(0)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
