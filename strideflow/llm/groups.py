@@ -26,7 +26,8 @@ from strideflow.plans.lineage import cut, drop_cut
 
 #: Edges that one task unites at a time (16 bytes each).
 CELL_EDGES = 1_000_000
-MIN_BLOCKS = 3
+#: Blocks of the first round at least, so that its cells keep several tasks busy; what they leave is far smaller.
+FIRST_BLOCKS = 3
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +56,9 @@ def _unite(table: pa.Table) -> pa.Table:
     return pa.table({"vertex": pa.array(v, pa.int64()), "root": pa.array(r, pa.int64())})
 
 
-def _round(edges: DataFrame, n: int, cell_edges: int) -> DataFrame:
-    """(vertex, root) of every slice of every cell of the grid."""
-    blocks = max(MIN_BLOCKS, math.ceil(math.sqrt(2 * n / cell_edges)))
+def _round(edges: DataFrame, n: int, cell_edges: int, least: int) -> DataFrame:
+    """(vertex, root) of every slice of every cell of the grid, whose side follows from the number of edges."""
+    blocks = max(least, math.ceil(math.sqrt(2 * n / cell_edges)) if n > cell_edges else 1)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     placed = edges.withColumn("bi", F.least(block("u"), block("v"))).withColumn("bj", F.greatest(block("u"), block("v")))
     # a cell's own count decides into how many slices it is cut; at most blocks² rows
@@ -75,7 +76,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", cell_edges: int = C
     pairs = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.least(F.col(u), F.col(v)).cast("bigint").alias("u"), F.greatest(F.col(u), F.col(v)).cast("bigint").alias("v")).distinct()
     current, levels = cut(pairs), []
     while (n := current.count()) > 0:
-        local = cut(_round(current, n, cell_edges))
+        local = cut(_round(current, n, cell_edges, 1 if levels else FIRST_BLOCKS))
         parents = cut(local.groupBy("vertex").agg(F.min("root").alias("parent")))
         rest = cut(
             local.join(parents, "vertex").where("root <> parent")
