@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strideflow.operators.nearness import pairs_within, regions_of_points
 from strideflow.plans import demand as D
+from strideflow.plans.lineage import shared_folder
 from strideflow.plans.numbering import running
 from strideflow.queries.data import _IN
 from strideflow.sources.tables import read_table
+from strideflow.streaming.landing import land, landed
 
 R = lambda c, n=4: F.round(c, n)
 _CUT = "2024-02-15"
@@ -250,6 +254,14 @@ def d37_near_counters(s, d):
     return pairs_within(t, "line_id", 1100.0)
 
 
+def a37_streamed_observations(s, d):
+    """Observations a day through a stream: landed batch by batch, repeated deliveries once."""
+    kind = read_table(s, d, "observed", ["obs_id", "received_at", "obs_date"]).schema
+    path = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    land(s.readStream.schema(kind).option("maxFilesPerTrigger", 4).parquet(f"{d}/observed.parque[t]"), f"{path}/rows", f"{path}/checkpoint")
+    return landed(s, f"{path}/rows", "obs_id", "received_at").groupBy("obs_date").agg(F.count("*").alias("observations"))
+
+
 def h11_days(s, d):
     """Observation dates, the same day of 2022, and the weekday."""
     t = read_table(s, d, "observed", ["obs_date"]).where("obs_date is not null").distinct()
@@ -307,6 +319,7 @@ SQL = {
     "c27_missing_counters": f"WITH {_DAYS} SELECT line_id, counter FROM count_lines WHERE {_KEY.replace('counter_name', 'counter')} NOT IN (SELECT name FROM days)",
     "d38_counter_places": f"SELECT name, p[2] AS x, p[3] AS y FROM (SELECT {_KEY} AS name, min((obs_id, x, y)) AS p FROM observed WHERE x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND {_KEY} <> '' GROUP BY 1)",
     "d37_near_counters": "WITH p AS (SELECT line_id, geometry[1].x AS x, geometry[1].y AS y FROM count_lines) SELECT a.line_id AS a_id, b.line_id AS b_id FROM p a JOIN p b ON a.line_id < b.line_id WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1100 * 1100",
+    "a37_streamed_observations": "SELECT obs_date, count(DISTINCT obs_id) AS observations FROM observed GROUP BY 1",
     "h11_days": "SELECT DISTINCT obs_date, CASE WHEN NOT (month(obs_date) = 2 AND day(obs_date) = 29) THEN make_date(2022, month(obs_date), day(obs_date)) END AS same_day_2022, CAST(isodow(obs_date) - 1 AS INTEGER) AS weekday FROM observed WHERE obs_date IS NOT NULL",
     "e15_first_delivery": "SELECT obs_id, min(received_at) AS received_at FROM observed GROUP BY 1",
 }
