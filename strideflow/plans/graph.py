@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideflow.operators.nearness import pairs_within
 from strideflow.plans.lineage import cut, drop_cut
 
 #: Edges up to which the network is broadcast (some 36 bytes each).
@@ -265,3 +266,27 @@ def weak_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         up = label.withColumnsRenamed({"n": "p", "c": "higher"})
         label = parent.join(up, "p", "left").select("n", F.coalesce("higher", "p").alias("c"))
     return label.select(F.col("n").alias("node_id"), F.col("c").alias("component"))
+
+
+def gap_connectors(nodes: DataFrame, groups: DataFrame, reach: float) -> DataFrame:
+    """``(u, v, gap_m)``: the shortest gaps of at most ``reach`` that join groups of nodes, as a forest (Boruvka).
+
+    ``nodes`` (``node_id``, ``x``, ``y``), ``groups`` (``node_id``,
+    ``component``).  Each round every group takes its shortest gap to another
+    one, ties by the nodes; the groups so joined are one in the next round.
+    """
+    at = cut(nodes.join(groups, "node_id").select("node_id", "x", "y", "component"))
+    near = pairs_within(at, "node_id", reach)
+    end = lambda k: at.select(F.col("node_id").alias(f"{k}_id"), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"), F.col("component").alias(f"{k}c"))
+    gap = near.join(end("a"), "a_id").join(end("b"), "b_id").where("ac <> bc").select("a_id", "b_id", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("gap"), "ac", "bc")
+    gap, chosen = cut(gap), None
+    while not gap.isEmpty():
+        each = gap.select("*", F.explode(F.array("ac", "bc")).alias("g")).groupBy("g").agg(F.min(F.struct("gap", "a_id", "b_id", "ac", "bc")).alias("m")).select("m.*").distinct()
+        each = cut(each)
+        chosen = each if chosen is None else chosen.unionByName(each)
+        label = cut(weak_components(each, "ac", "bc"))
+        a, b = label.select(F.col("node_id").alias("ac"), F.col("component").alias("na")), label.select(F.col("node_id").alias("bc"), F.col("component").alias("nb"))
+        gap = cut(gap.join(a, "ac", "left").join(b, "bc", "left").select("a_id", "b_id", "gap", F.coalesce("na", "ac").alias("ac"), F.coalesce("nb", "bc").alias("bc")).where("ac <> bc"))
+    if chosen is None:
+        return at.select(F.col("node_id").alias("u"), F.col("node_id").alias("v"), F.col("x").alias("gap_m")).limit(0)
+    return chosen.select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), F.col("gap").alias("gap_m"))

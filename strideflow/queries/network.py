@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strideflow.functions import crs
 from strideflow.functions import speeds as sp
 from strideflow.operators.nearness import nearest_within, pairs_within, regions_of_points
 from strideflow.plans import graph as G
+from strideflow.plans.demand import stitch
 from strideflow.plans.lineage import cut, shared_folder
 from strideflow.plans.links import network, normalise, read_links
 from strideflow.queries.data import _IN
@@ -116,6 +118,34 @@ def i25_gap_connectors(s, d):
     return each.groupBy("component").agg(F.min(F.struct(R("gap", 3).alias("g"), "a_id", "b_id")).alias("m")).select("component", F.col("m.a_id").alias("u"), F.col("m.b_id").alias("v"), F.col("m.g").alias("gap_m"))
 
 
+def i25_island_connectors(s, d):
+    """The gaps of at most 2 km that join the network's components into a forest."""
+    net = _net(s, d)
+    xy = read_table(s, d, "nodes").where("x is not null and y is not null").groupBy("node_id").agg(F.min(F.struct("x", "y")).alias("p")).select("node_id", "p.x", "p.y")
+    return G.gap_connectors(xy, cut(G.weak_components(net)), 2000.0).select("u", "v", R("gap_m", 3).alias("gap_m"))
+
+
+def i09_two_tier_matrix(s, d):
+    """Cells within a minute by their access points, others within two minutes by their heaviest nodes, access legs added."""
+    net, p = _net(s, d), cut(_cell_points(s, d))
+    near = G.zone_matrix(net, p, LIMIT / 2).select("origin", "destination", "seconds")
+    rep = cut(p.groupBy("zone").agg(F.min(F.struct(-F.round("weight", 12), "node_id")).alias("m")).select("zone", F.col("m.node_id").alias("node_id")))
+    m = G.od_matrix(net, rep, LIMIT)
+    far = m.select("seconds", F.col("origin").alias("node_id"), F.col("destination").alias("n2")).join(rep.withColumnRenamed("zone", "origin"), "node_id").join(rep.select(F.col("zone").alias("destination"), F.col("node_id").alias("n2")), "n2").where("origin <> destination").select("origin", "destination", (F.col("seconds") + 60).alias("seconds"))
+    return stitch(near, far, "seconds").select("origin", "destination", R("seconds", 3).alias("seconds"), "tier")
+
+
+def h21_grid_to_degrees(s, d):
+    """The centroids' longitude and latitude, their spherical Mercator metres and their map tile at zoom 12."""
+    c = read_table(s, d, "centroids", ["centroid_id", "x", "y"]).where("x between 0 and 1000000 and y between 6000000 and 8000000").distinct()
+    lon, lat = crs.to_degrees(F.col("x"), F.col("y"))
+    g = c.select("centroid_id", "x", "y", lon.alias("lon"), lat.alias("lat"))
+    wx, wy = crs.to_web(F.col("lon"), F.col("lat"))
+    tx, ty = crs.tile(F.col("lon"), F.col("lat"), 12)
+    bx, by = crs.to_grid(F.col("lon"), F.col("lat"))
+    return g.select("centroid_id", "x", "y", R("lon", 8).alias("lon"), R("lat", 8).alias("lat"), R(wx, 2).alias("web_x"), R(wy, 2).alias("web_y"), tx.alias("tile_x"), ty.alias("tile_y"), (F.hypot(bx - F.col("x"), by - F.col("y")) < 1e-3).alias("returns"))
+
+
 # ----------------------------------------------------------------- zones
 
 
@@ -353,6 +383,7 @@ SQL = {
     "i07_zone_matrix": f"WITH RECURSIVE {_DIST}, {_ZP} SELECT origin, destination, round(num / den, 3) AS seconds, round(den / whole, 6) AS fraction FROM zs",
     "i07_gated_zone_matrix": f"WITH RECURSIVE {_DIST}, {_ZP} SELECT origin, destination, round(num / den, 3) AS seconds FROM zs WHERE den / whole >= 0.3 - 1e-9",
     "j01_point_demand": f"WITH RECURSIVE {_DIST}, {_ZP} SELECT p.node_id AS a, round(sum(10.0 * p.weight), 6) AS demand FROM zs JOIN zp p ON p.zone = origin WHERE origin <> destination GROUP BY 1",
+    "i09_two_tier_matrix": f"WITH RECURSIVE {_DIST}, {_ZP.replace('WHERE src <> dist.node', 'WHERE src <> dist.node AND dist.d <= ' + str(LIMIT / 2))}, rep AS (SELECT zone, min((-round(weight, 12), node_id))[2] AS node_id FROM zp GROUP BY 1), far AS (SELECT a.zone AS origin, b.zone AS destination, d + 60 AS seconds FROM dist JOIN rep a ON a.node_id = src JOIN rep b ON b.node_id = dist.node WHERE a.zone <> b.zone), near AS (SELECT origin, destination, num / den AS seconds FROM zs) SELECT coalesce(n.origin, f.origin) AS origin, coalesce(n.destination, f.destination) AS destination, round(coalesce(n.seconds, f.seconds), 3) AS seconds, CASE WHEN n.origin IS NOT NULL THEN 'near' ELSE 'far' END AS tier FROM near n FULL JOIN far f ON n.origin = f.origin AND n.destination = f.destination",
     "i18_paths": f"WITH RECURSIVE {_DIST} SELECT w.src AS origin, w.dest AS destination, w.hops AS \"left\", p.e[3] AS link_id, CAST(p.e[4] AS INTEGER) AS direction FROM walk w JOIN pred p ON p.src = w.src AND p.node = w.node WHERE w.src % 50 = 0",
     "e14_route_stretches": f"WITH RECURSIVE {_DIST}, st AS (SELECT w.src, w.dest, w.hops, coalesce(n.highway, '') AS class, n.length_m FROM walk w JOIN pred p ON p.src = w.src AND p.node = w.node JOIN norm n ON n.link_id = p.e[3] WHERE w.src % 50 = 0), ch AS (SELECT *, CASE WHEN lag(class) OVER (PARTITION BY src, dest ORDER BY hops DESC) = class THEN 0 ELSE 1 END AS fresh FROM st), k AS (SELECT *, sum(fresh) OVER (PARTITION BY src, dest ORDER BY hops DESC) AS stretch FROM ch) SELECT src AS origin, dest AS destination, CAST(stretch AS BIGINT) AS stretch, any_value(class) AS class, round(sum(length_m), 3) AS metres FROM k GROUP BY 1, 2, 3",
     "i14_two_tier_volumes": f"WITH RECURSIVE {_DIST}, {_USED} SELECT e[3] AS link_id, CAST(e[4] AS INTEGER) AS direction, e[1] AS u, node AS v, round(sum(demand), 4) AS volume FROM used JOIN dem USING (src, dest) GROUP BY 1, 2, 3, 4",

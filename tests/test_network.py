@@ -153,3 +153,41 @@ def test_ways(spark):
     w = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [9, 3, 8]), (3, [7]), (4, None)], "way long, refs array<long>")
     assert rows(junction_marks(w)) == [(1, 0, 1), (1, 2, 3), (1, 3, 4), (2, 0, 9), (2, 1, 3), (2, 2, 8)]
     assert rows(split_ways(w, spark.createDataFrame([(2,)], "ref long"))) == [(1, 1, 1, 2, 0, 1), (1, 2, 2, 3, 1, 2), (1, 3, 3, 4, 2, 3), (2, 1, 9, 3, 0, 1), (2, 2, 3, 8, 1, 2)]
+
+
+def test_connectors_are_a_shortest_forest(spark):
+    r = random.Random(11)
+    pts = [(i, r.uniform(0, 400), r.uniform(0, 400)) for i in range(80)]
+    group = {i: i // 4 for i, _, _ in pts}
+    nodes = spark.createDataFrame(pts, "node_id long, x double, y double")
+    groups = spark.createDataFrame(list(group.items()), "node_id long, component long")
+    parent = {g: g for g in group.values()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    total = n = 0
+    for gap, a, b in sorted((((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5, p[0], q[0]) for p in pts for q in pts if p[0] < q[0]):
+        if gap <= 60 and find(group[a]) != find(group[b]):
+            parent[find(group[a])] = find(group[b])
+            total, n = total + gap, n + 1
+    got = G.gap_connectors(nodes, groups, 60.0).collect()
+    assert len(got) == n and abs(sum(x.gap_m for x in got) - total) < 1e-6
+
+
+def test_projection(spark):
+    from strideflow.functions import crs
+
+    df = spark.createDataFrame([(24.9384, 60.1699), (27.0, 65.0), (21.5, 69.9)], "lon double, lat double")
+    x, y = crs.to_grid(F.col("lon"), F.col("lat"))
+    g = df.select("lon", "lat", x.alias("x"), y.alias("y"))
+    lon, lat = crs.to_degrees(F.col("x"), F.col("y"))
+    for r in g.select("*", lon.alias("lon2"), lat.alias("lat2")).collect():
+        assert abs(r.lon - r.lon2) < 1e-9 and abs(r.lat - r.lat2) < 1e-9
+    mid = [r for r in g.collect() if r.lon == 27.0][0]
+    assert abs(mid.x - 500_000) < 1e-6 and abs(mid.y - 0.9996 * 7_210_885) < 3000
+    wx, wy = crs.to_web(F.lit(180.0), F.lit(85.0511287798066))
+    one = df.limit(1).select(wx.alias("x"), wy.alias("y")).first()
+    assert abs(one.x - 20037508.342789244) < 1e-3 and abs(one.y - 20037508.342789244) < 1e-2
