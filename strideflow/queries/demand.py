@@ -309,7 +309,7 @@ SQL = {
     "d19_logsum": f"WITH {_T} SELECT origin, round(-ln(greatest(sum(demand * exp(-0.2 * length_m / 1000)) / sum(demand), 1e-300)) / 0.2, 5) AS logsum_km, round(sum(demand * length_m / 1000) / sum(demand), 5) AS mean_km FROM t WHERE demand > 0 AND length_m IS NOT NULL GROUP BY 1",
     "d20_reachable_gate": f"WITH {_T}, g AS (SELECT origin, coalesce(sum(demand) FILTER (length_m IS NOT NULL), 0) / sum(demand) AS share FROM t WHERE demand > 0 GROUP BY 1) SELECT origin, round(share, 6) AS share FROM g WHERE share >= 0.9 - 1e-9",
     "d35_length_histogram": f"WITH {_ZM} SELECT municipality_id, {_BIN} AS bin, round(sum(demand), 4) AS trips, round(sum(demand * length_m) / sum(demand) / 1000, 4) AS mean_km FROM t JOIN zm USING (origin) WHERE demand > 0 AND length_m IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT NULL, {_BIN}, round(sum(demand), 4), round(sum(demand * length_m) / sum(demand) / 1000, 4) FROM t WHERE demand > 0 AND length_m IS NOT NULL GROUP BY 2",
-    "d34_share_fit": f"WITH {_ZM}, m AS (SELECT municipality_id, sum(demand * length_m) / sum(demand) / 1000 AS x, coalesce(sum(demand) FILTER (length_m < 3000), 0) / sum(demand) AS y, sum(demand) AS w FROM t JOIN zm USING (origin) WHERE demand > 0 AND length_m IS NOT NULL GROUP BY 1), a AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM m) SELECT n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round((SELECT pow(sum(w * (x - mx) * (y - my)), 2) / (sum(w * (x - mx) ** 2) * sum(w * (y - my) ** 2)) FROM m), 6) AS r2_weighted FROM a",
+    "d34_share_fit": f"WITH {_ZM}, m AS (SELECT municipality_id, sum(demand * length_m) / sum(demand) / 1000 AS x, coalesce(sum(demand) FILTER (length_m < 3000), 0) / sum(demand) AS y, sum(demand) AS w FROM t JOIN zm USING (origin) WHERE demand > 0 AND length_m IS NOT NULL GROUP BY 1), a AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM m) SELECT n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round((SELECT pow(sum(w * (x - mx) * (y - my)), 2) / (sum(w * (x - mx) ** 2) * sum(w * (y - my) ** 2)) FROM m), 6) AS r2_weighted FROM a WHERE n >= 3",
     "c28_placed_share": f"WITH {_ZM} SELECT round(sum(demand) FILTER (municipality_id IS NOT NULL) / sum(demand), 6) AS placed FROM t LEFT JOIN zm USING (origin) WHERE demand > 0",
     "a31_zone_radius": "WITH r AS (SELECT municipality_id, k, rings[k] AS g FROM municipality_polygons, LATERAL (SELECT unnest(range(1, len(rings) + 1)) AS k)), s AS (SELECT municipality_id, k, abs(list_sum(list_transform(range(1, len(g)), lambda i: g[i].x * g[i + 1].y - g[i + 1].x * g[i].y))) / 2 AS a FROM r), t AS (SELECT municipality_id, sum(CASE WHEN k = 1 THEN a ELSE -a END) AS a FROM s GROUP BY 1) SELECT municipality_id, round(a, 0) AS area_m2, round(sqrt(a / pi()), 2) AS radius_m, round(sqrt(a / pi()) * 128 / (45 * pi()), 2) AS within_m FROM t",
     "h03_name_keys": f"SELECT DISTINCT counter_name, {_KEY} AS name FROM observed WHERE counter_name IS NOT NULL",
