@@ -59,8 +59,11 @@ def _table() -> np.ndarray:
     global _TABLE
     if _TABLE is None:
         t = np.zeros(0x10000, np.uint8)
-        for c in range(0x10000):
-            if 0xD800 <= c < 0xE000 or not chr(c).isalnum():
+        # ideographs and syllables stand for themselves, the others are folded one by one
+        for lo, hi in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4)):
+            t[lo:hi] = 128 + np.arange(lo, hi) % 127
+        for c in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000)):
+            if not chr(c).isalnum():
                 continue
             f = [x for x in fold(chr(c)) if x.isalnum()]
             if f:

@@ -87,22 +87,22 @@ def valley_depths(cp: np.ndarray, cuts: np.ndarray, block: int = BLOCK) -> np.nd
     width = 2 * block
     key, count = np.unique(words.astype(np.int64) * units + where, return_counts=True)
     word, unit = np.divmod(key, units)
-    band = np.zeros((width, units + width))  # band[d, i]: product of units i and i + d
+    band = np.zeros((width, units + 2 * width))  # band[d, width + i]: product of units i and i + d
     for k in range(min(width, len(key))):
         d = unit[k:] - unit[: len(key) - k]
         ok = (word[k:] == word[: len(key) - k]) & (d < width)
-        np.add.at(band, (d[ok], unit[: len(key) - k][ok]), (count[k:] * count[: len(key) - k])[ok])
-    gaps = np.arange(1, n + 1)
+        np.add.at(band, (d[ok], unit[: len(key) - k][ok] + width), (count[k:] * count[: len(key) - k])[ok])
     dot, left, right = np.zeros(n), np.zeros(n), np.zeros(n)
     for i in range(-block, block):
         for j in range(i, block):
-            x = np.where(gaps + i >= 0, band[j - i, np.maximum(gaps + i, 0)], 0.0)
+            at = 1 + i + width  # the unit i places from the first gap's right side, in the shifted band
+            x = band[j - i, at : at + n]
             if i < 0 <= j:
                 dot += x
             elif j < 0:
-                left += x * (2 if j > i else 1)
+                left += x if j == i else 2 * x
             else:
-                right += x * (2 if j > i else 1)
+                right += x if j == i else 2 * x
     norm = np.sqrt(left * right)
     similar = np.where(norm > 0, dot / np.where(norm > 0, norm, 1), 0.0).tolist()
     up_left, up_right = similar[:], similar[:]
