@@ -11,7 +11,7 @@ from strideflow.functions import crs
 from strideflow.functions import speeds as sp
 from strideflow.operators.nearness import nearest_within, pairs_within, regions_of_points
 from strideflow.plans import graph as G
-from strideflow.plans.demand import stitch
+from strideflow.plans.demand import od_demand, stitch, trips
 from strideflow.plans.lineage import cut, shared_folder
 from strideflow.plans.links import network, normalise, read_links
 from strideflow.queries.data import _IN
@@ -21,6 +21,10 @@ from strideflow.sources.tables import read_table
 
 R = lambda c, n=4: F.round(c, n)
 LIMIT = 120.0
+#: Metres from a zone's centroid to its node at most, as the reference has it unless told otherwise.
+SNAP = 1000.0
+#: Seconds of the near tier of the trips' assignment; the far tier has no limit.
+NEAR = 900.0
 
 
 def _net(s, d):
@@ -92,6 +96,61 @@ def i13_select_link(s, d):
     return G.assign(net, dem, LIMIT, chosen).where("kind = 'via'").select("origin", "destination", R("value").alias("demand"))
 
 
+def _trips(s, d):
+    """The trips' demand by zones, with the network's nearest node of both; a zone without one gets a number that no node has."""
+    net = _net(s, d)
+    place = lambda t, k: read_table(s, d, t, [k, "x", "y"]).where("x is not null and y is not null").groupBy(k).agg(F.min(F.struct("x", "y")).alias("p")).select(k, "p.x", "p.y")
+    used = net.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    at = cut(nearest_within(place("centroids", "centroid_id"), "centroid_id", place("nodes", "node_id").join(used, "node_id"), "node_id", SNAP).select(F.col("id").alias("zone"), F.col("target_id").alias("node")))
+    od = od_demand(trips(s, d))
+    for end, node in (("origin", "o_node"), ("destination", "d_node")):
+        od = od.join(at.select(F.col("zone").alias(end), F.col("node").alias(node)), end, "left").withColumn(node, F.coalesce(node, -1 - F.col(end)))
+    return net, cut(od.select("origin", "destination", "demand", "o_node", "d_node"))
+
+
+def _by_node(od):
+    return od.select(F.col("o_node").alias("origin"), F.col("d_node").alias("destination"), "demand")
+
+
+def _by_zone(assigned, od):
+    """Values of pairs of nodes for all pairs of zones that have these nodes."""
+    return od.join(assigned.select(F.col("origin").alias("o_node"), F.col("destination").alias("d_node"), "value"), ["o_node", "d_node"])
+
+
+def i10_volumes_of_trips(s, d):
+    """Volumes of every directed link from all the trips' demand, however long the way."""
+    net, od = _trips(s, d)
+    return G.link_volumes(G.assign(net, _by_node(od), float("inf"))).select("link_id", "direction", "u", "v", R("volume").alias("volume"))
+
+
+def i12_lengths_of_trips(s, d):
+    """Metres of the fastest way of every pair of zones with demand."""
+    net, od = _trips(s, d)
+    return _by_zone(G.assign(net, _by_node(od), float("inf")).where("kind = 'length'"), od).select("origin", "destination", R("demand").alias("demand"), R("value", 3).alias("metres"))
+
+
+def d29_missed_of_trips(s, d):
+    """Pairs of zones whose demand no way serves, or of which one has no node."""
+    net, od = _trips(s, d)
+    return _by_zone(G.assign(net, _by_node(od), float("inf")).where("kind = 'missed'"), od).select("origin", "destination", R("demand").alias("demand"))
+
+
+def i13_select_link_of_trips(s, d):
+    """Pairs of zones whose way uses a link whose id divides by 97, with their demand."""
+    net, od = _trips(s, d)
+    chosen = [r[0] for r in net.where("link_id % 97 = 0").select("link_id").distinct().collect()]
+    return _by_zone(G.assign(net, _by_node(od), float("inf"), chosen).where("kind = 'via'"), od).select("origin", "destination", R("demand").alias("demand"))
+
+
+def i14_two_tier_volumes_of_trips(s, d):
+    """The trips' demand assigned within a quarter of an hour, and what that misses without limit; the volumes of both."""
+    net, od = _trips(s, d)
+    near = cut(G.assign(net, _by_node(od), NEAR))
+    far = G.assign(net, near.where("kind = 'missed'").select("origin", "destination", F.col("value").alias("demand")), float("inf"))
+    both = G.link_volumes(near).unionByName(G.link_volumes(far))
+    return both.groupBy("link_id", "direction", "u", "v").agg(R(F.sum("volume")).alias("volume"))
+
+
 def d08_components(s, d):
     """Nodes of every weak component of the network: its size by its smallest node."""
     return G.weak_components(_net(s, d)).groupBy("component").agg(F.count("*").alias("nodes"))
@@ -262,7 +321,15 @@ def i14_two_tier_volumes(s, d):
 
 def d39_select_link_totals(s, d):
     """The selected links' demand by origin and by destination."""
-    v = cut(i13_select_link(s, d))
+    return _ends(cut(i13_select_link(s, d)))
+
+
+def d39_select_link_totals_of_trips(s, d):
+    """The selected links' demand of the trips by zone."""
+    return _ends(cut(i13_select_link_of_trips(s, d))).withColumnRenamed("node_id", "zone")
+
+
+def _ends(v):
     o = v.groupBy(F.col("origin").alias("node_id")).agg(F.sum("demand").alias("as_origin"))
     e = v.groupBy(F.col("destination").alias("node_id")).agg(F.sum("demand").alias("as_destination"))
     return o.join(e, "node_id", "full_outer").select("node_id", F.coalesce("as_origin", F.lit(0.0)).alias("as_origin"), F.coalesce("as_destination", F.lit(0.0)).alias("as_destination"))
@@ -279,7 +346,17 @@ def c29_candidate_pairs(s, d):
 def d32_municipality_speed(s, d):
     """Volume-weighted speed by the municipality of the link's middle, and for all of them."""
     net, dem = _demand(s, d)
-    vol = G.link_volumes(G.assign(net, dem, LIMIT)).select("link_id", "direction", "volume")
+    return _speed(s, d, net, G.assign(net, dem, LIMIT))
+
+
+def d32_municipality_speed_of_trips(s, d):
+    """The same under all the trips' demand."""
+    net, od = _trips(s, d)
+    return _speed(s, d, net, G.assign(net, _by_node(od), float("inf")))
+
+
+def _speed(s, d, net, assigned):
+    vol = G.link_volumes(assigned).select("link_id", "direction", "volume")
     links = normalise(read_links(s, d))
     mid = lambda c: (F.element_at("geometry", 1)[c] + F.element_at("geometry", -1)[c]) / 2
     z = regions_of_points(links.select("link_id", mid("x").alias("x"), mid("y").alias("y")), "link_id", read_table(s, d, "municipality_polygons", ["municipality_id", "rings"]), "municipality_id").select(F.col("id").alias("link_id"), F.col("region").alias("municipality_id"))

@@ -9,6 +9,7 @@ from strideflow.plans import graph as G
 from strideflow.plans import links as L
 from strideflow.plans.demand import overlay, stitch
 from strideflow.plans.numbering import running
+from strideflow.queries import network as N
 from tests.conftest import rows
 
 EDGE = "u long, v long, travel_time_s double, length_m double, link_id long, direction int"
@@ -191,3 +192,24 @@ def test_projection(spark):
     wx, wy = crs.to_web(F.lit(180.0), F.lit(85.0511287798066))
     one = df.limit(1).select(wx.alias("x"), wy.alias("y")).first()
     assert abs(one.x - 20037508.342789244) < 1e-3 and abs(one.y - 20037508.342789244) < 1e-2
+
+
+def test_trips_are_assigned_whatever_their_length(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    net, od = N._trips(spark, d)
+    monkeypatch.setattr(N, "_trips", lambda s, d: (net, od))
+    total = od.agg(F.sum("demand")).first()[0]
+    inside = od.where("o_node = d_node").agg(F.coalesce(F.sum("demand"), F.lit(0.0))).first()[0]
+    missed = N.d29_missed_of_trips(spark, d).agg(F.coalesce(F.sum("demand"), F.lit(0.0))).first()[0]
+    ways = N.i12_lengths_of_trips(spark, d).cache()
+    placed = ways.agg(F.sum("demand")).first()[0]
+    assert placed > 0 and abs(inside + missed + placed - total) < 1e-6 * total
+    m = G.od_matrix(net, od.select(F.col("o_node").alias("node_id")), float("inf")).select(F.col("origin").alias("o_node"), F.col("destination").alias("d_node"), "seconds", "metres").cache()
+    want = {(r.origin, r.destination): round(r.metres, 3) for r in od.where("o_node <> d_node").join(m, ["o_node", "d_node"]).collect()}
+    assert {(r.origin, r.destination): r.metres for r in ways.collect()} == want
+    assert od.join(m, ["o_node", "d_node"]).agg(F.max("seconds")).first()[0] > N.LIMIT
+    vol = {(r.link_id, r.direction): r.volume for r in N.i10_volumes_of_trips(spark, d).collect()}
+    two = {(r.link_id, r.direction): r.volume for r in N.i14_two_tier_volumes_of_trips(spark, d).collect()}
+    assert vol.keys() == two.keys() and all(abs(vol[k] - two[k]) < 1e-3 for k in vol)
+    run = sum(r.length_m * vol.get((r.link_id, r.direction), 0.0) for r in net.collect())
+    assert abs(run - ways.agg(F.sum(F.col("demand") * F.col("metres"))).first()[0]) < 1e-5 * run
