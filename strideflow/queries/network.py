@@ -64,6 +64,13 @@ def i17_reverse_matrix(s, d):
     return G.od_matrix(back, _sources(back).where("node_id % 10 = 0"), LIMIT).select(F.col("origin").alias("destination"), F.col("destination").alias("origin"), R("seconds").alias("seconds"))
 
 
+def i17_whole_reverse_matrix(s, d):
+    """The same to every node."""
+    net = _net(s, d)
+    back = net.select(F.col("v").alias("u"), F.col("u").alias("v"), "travel_time_s", "length_m", "link_id", "direction")
+    return G.od_matrix(back, _sources(back), LIMIT).select(F.col("origin").alias("destination"), F.col("destination").alias("origin"), R("seconds").alias("seconds"))
+
+
 def _demand(s, d):
     """Demand between the nodes within two minutes of each other, and to one that no way leads to."""
     net, m = _matrix(s, d)
@@ -453,6 +460,7 @@ SQL = {
     "i04_relational_matrix": f"WITH RECURSIVE {_DIST} SELECT src AS origin, node AS destination, round(d, 4) AS seconds FROM dist",
     "i19_least_cost": f"WITH RECURSIVE {_DIST} SELECT node AS destination, round(min(d), 4) AS seconds FROM dist WHERE src % 50 = 0 GROUP BY 1",
     "i17_reverse_matrix": f"WITH RECURSIVE {_DIST.replace('SELECT DISTINCT u AS node FROM net', 'SELECT u AS node FROM net UNION SELECT v FROM net')} SELECT src AS origin, node AS destination, round(d, 4) AS seconds FROM dist WHERE node % 10 = 0 AND node IN (SELECT v FROM net)",
+    "i17_whole_reverse_matrix": f"WITH RECURSIVE {_DIST.replace('SELECT DISTINCT u AS node FROM net', 'SELECT u AS node FROM net UNION SELECT v FROM net')} SELECT src AS origin, node AS destination, round(d, 4) AS seconds FROM dist WHERE node IN (SELECT v FROM net)",
     "i10_link_volumes": f"WITH RECURSIVE {_DIST}, {_USED} SELECT e[3] AS link_id, CAST(e[4] AS INTEGER) AS direction, e[1] AS u, node AS v, round(sum(demand), 4) AS volume FROM used JOIN dem USING (src, dest) GROUP BY 1, 2, 3, 4",
     "i12_trip_lengths": f"WITH RECURSIVE {_DIST} SELECT src AS origin, dest AS destination, round(len, 3) AS metres FROM dem JOIN ways USING (src, dest)",
     "d29_missed_demand": f"WITH {net_sql(sp.BIKE)} SELECT -99::BIGINT AS destination, count(DISTINCT u) AS pairs, round(2.0 * count(DISTINCT u), 4)::DOUBLE AS demand FROM net WHERE u % 100 = 7",

@@ -213,3 +213,10 @@ def test_trips_are_assigned_whatever_their_length(spark, monkeypatch):
     assert vol.keys() == two.keys() and all(abs(vol[k] - two[k]) < 1e-3 for k in vol)
     run = sum(r.length_m * vol.get((r.link_id, r.direction), 0.0) for r in net.collect())
     assert abs(run - ways.agg(F.sum(F.col("demand") * F.col("metres"))).first()[0]) < 1e-5 * run
+
+
+def test_reverse_search_runs_to_every_node(spark, monkeypatch):
+    e = _line(spark, 12)
+    monkeypatch.setattr(N, "_net", lambda s, d: e)
+    want = [(a, b, 10.0 * abs(a - b)) for a in range(12) for b in range(12)]
+    assert rows(N.i17_whole_reverse_matrix(spark, "").select("origin", "destination", "seconds")) == want
