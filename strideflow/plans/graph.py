@@ -124,12 +124,18 @@ def paths(edges: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
     return _spread(per_origin).mapInPandas(run, "origin bigint, destination bigint, left int, link_id bigint, direction int, u bigint, v bigint")
 
 
-def relational_matrix(edges: DataFrame, sources: DataFrame, limit: float, rounds: int = 200) -> DataFrame:
-    """The seconds of :func:`od_matrix` by frontier relaxation with joins: no broadcast of the network."""
+def relational_matrix(edges: DataFrame, sources: DataFrame, limit: float, rounds: int | None = None) -> DataFrame:
+    """The seconds of :func:`od_matrix` by frontier relaxation with joins: no broadcast of the network.
+
+    The rounds end when no row gets better.  That takes at most as many as the
+    network has nodes, unless a cycle's time is below zero; beyond ``rounds``, by
+    default that number, it raises.
+    """
     best = cut(sources.select(F.col("node_id").alias("origin"), F.col("node_id").alias("destination"), F.lit(0.0).alias("seconds")).distinct())
     front = best
     step = edges.select(F.col("u").alias("destination"), "v", "travel_time_s")
-    for _ in range(rounds):
+    done = 0
+    while True:
         reached = front.join(step, "destination").select("origin", F.col("v").alias("destination"), (F.col("seconds") + F.col("travel_time_s")).alias("seconds")).where(F.col("seconds") <= limit)
         new = reached.groupBy("origin", "destination").agg(F.min("seconds").alias("s2"))
         both = cut(best.join(new, ["origin", "destination"], "full_outer").select("origin", "destination", F.least("seconds", "s2").alias("seconds"), (F.col("seconds").isNull() | (F.col("s2") < F.col("seconds"))).alias("better")))
@@ -138,8 +144,12 @@ def relational_matrix(edges: DataFrame, sources: DataFrame, limit: float, rounds
         best, front = both.drop("better"), moved.drop("better")
         best._cut_path = both._cut_path
         if moved.isEmpty():
-            break
-    return best
+            return best
+        done += 1
+        if rounds is None and done == 200:  # counted only where the ways are long
+            rounds = edges.select(F.explode(F.array("u", "v")).alias("n")).distinct().count()
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"ways still get better after {done} rounds")
 
 
 def assign(edges: DataFrame, demand: DataFrame, limit: float, selected: list[int] | None = None) -> DataFrame:

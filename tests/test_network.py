@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strideflow.functions import speeds as sp
@@ -45,6 +46,13 @@ def test_relational_twin_and_partitions_agree(spark):
     assert a == b and len(a) > 500
 
 
+def test_relational_search_never_ends_early(spark):
+    e, s = _line(spark, 6), spark.createDataFrame([(0,)], "node_id long")
+    assert rows(G.relational_matrix(e, s, 100.0)) == [(0, i, 10.0 * i) for i in range(6)]
+    with pytest.raises(RuntimeError, match="after 3 rounds"):
+        G.relational_matrix(e, s, 100.0, rounds=3)
+
+
 def test_assignment_conserves(spark):
     e = L.fastest_parallel(_random(spark))
     r = random.Random(5)
