@@ -109,8 +109,11 @@ def _values(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
     return cut_fields(counted, words).select("tag_field", F.transform("items", F.lower).alias("terms"), F.col("key").alias("weight")).where(F.size("terms") > 0)
 
 
-def _counted(spark: SparkSession, sf_dir: str, max_n: int) -> DataFrame:
+def _counted(spark: SparkSession, sf_dir: str, max_n: int | None) -> DataFrame:
+    """Marked counts of sequences of up to ``max_n`` values, of all that the fields hold where it is None."""
     values = _values(spark, sf_dir, ["highway", "surface"])
+    if max_n is None:
+        max_n = values.agg(F.max(F.size("terms"))).first()[0] or 1
     sizes = values.groupBy(F.col("tag_field").alias("grp")).agg(F.sum("weight").alias("total"))
     return marked(term_counts(values, "terms", "tag_field", "weight", max_n), sizes)
 
@@ -125,6 +128,11 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(spark, sf_dir, 3).select(F.col("grp").alias("tag_field"), F.array_join("term", " > ").alias("term"), "n", "tf", "df", F.coalesce("mark", F.lit("")).alias("mark"))
 
 
+def p7_all_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every sequence, however long."""
+    return _counted(spark, sf_dir, None).select(F.col("grp").alias("tag_field"), F.array_join("term", " > ").alias("term"), "n", "tf", "df", F.coalesce("mark", F.lit("")).alias("mark"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least two fifths of an evaluation item in one stretch."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
@@ -156,12 +164,14 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIPS = "trips AS (SELECT DISTINCT trip_id, origin, length_m, demand FROM trip_lengths), vals AS (SELECT origin, 'length_m' AS measure, length_m AS v FROM trips WHERE length_m IS NOT NULL AND NOT isnan(length_m) UNION ALL SELECT origin, 'demand', demand FROM trips WHERE demand IS NOT NULL AND NOT isnan(demand))"
 _VALUES = f"{PIECES_SQL.strip()}, recs AS (SELECT tag_field, link_row, list_transform(items, lambda x: lower(x)) AS terms FROM pieces WHERE len(items) > 0 AND tag_field <> 'crossing'), sizes AS (SELECT tag_field, count(*) AS total FROM recs GROUP BY 1)"
 _GRAMS = "grams AS (" + " UNION ALL ".join(f"SELECT tag_field, link_row, array_to_string(terms[i:i + {n - 1}], ' > ') AS term, {n} AS n FROM recs, LATERAL (SELECT unnest(range(1, len(terms) + {2 - n})) AS i)" for n in (1, 2, 3)) + ")"
+_ALL_GRAMS = "grams AS (SELECT tag_field, link_row, array_to_string(terms[i:j], ' > ') AS term, j - i + 1 AS n FROM (SELECT *, unnest(range(i, len(terms) + 1)) AS j FROM (SELECT *, unnest(range(1, len(terms) + 1)) AS i FROM recs)))"
 _MARK = "CASE WHEN count(DISTINCT link_row) <= 3 THEN 'rare' WHEN count(DISTINCT link_row) > 0.25 * any_value(total) THEN 'common' ELSE '' END"
 
-QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_report": p9_report, "p10_pieces": p10_pieces}
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p7_all_sequences": p7_all_sequences, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_report": p9_report, "p10_pieces": p10_pieces}
 SQL = {
     "p4_found": f"WITH {_TRIPS} SELECT origin, measure FROM vals GROUP BY ALL HAVING count(*) >= 40 AND quantile_cont(v, 0.95) > 6 * quantile_cont(v, 0.5)",
     "p4_percentiles": f"WITH {_TRIPS} SELECT origin, measure, CAST(q AS DOUBLE) AS q, n, round(value, 6) AS value FROM (SELECT origin, measure, n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(a) AS value FROM (SELECT origin, measure, count(*) AS n, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS a FROM vals GROUP BY ALL))",
     "p7_found": f"WITH {_VALUES}, {_GRAMS}, marks AS (SELECT tag_field, term, {_MARK} AS mark FROM grams JOIN sizes USING (tag_field) WHERE n = 1 GROUP BY ALL) SELECT tag_field, term, mark FROM marks WHERE mark <> ''",
     "p7_sequences": f"WITH {_VALUES}, {_GRAMS} SELECT tag_field, term, CAST(n AS INTEGER) AS n, count(*) AS tf, count(DISTINCT link_row) AS df, {_MARK} AS mark FROM grams JOIN sizes USING (tag_field) GROUP BY tag_field, term, n",
+    "p7_all_sequences": f"WITH {_VALUES}, {_ALL_GRAMS} SELECT tag_field, term, CAST(n AS INTEGER) AS n, count(*) AS tf, count(DISTINCT link_row) AS df, {_MARK} AS mark FROM grams JOIN sizes USING (tag_field) GROUP BY tag_field, term, n",
 }

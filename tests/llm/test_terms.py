@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from strideflow.llm import queries
 from strideflow.llm.terms import marked, record_suffixes, term_counts
 
 
@@ -37,3 +38,10 @@ def test_marks(spark):
     c = spark.createDataFrame([("g", "x", 3), ("g", "y", 4), ("g", "z", 26), ("g", "v", 25), (None, "w", 90)], "grp string, term string, df long")
     s = spark.createDataFrame([("g", 100), (None, 100)], "grp string, total long")
     assert {r.term: r.mark for r in marked(c, s).collect()} == {"x": "rare", "y": None, "z": "common", "v": None, "w": "common"}
+
+
+def test_sequences_are_as_long_as_the_fields(spark, monkeypatch):
+    v = spark.createDataFrame([("surface", list("abcde"), 4), ("surface", ["a"], 1)], "tag_field string, terms array<string>, weight long")
+    monkeypatch.setattr(queries, "_values", lambda *a: v)
+    got = {r.term: (r.n, r.tf, r.df) for r in queries.p7_all_sequences(spark, "").collect()}
+    assert len(got) == 15 and got["a > b > c > d > e"] == (5, 4, 4) and got["a"] == (1, 5, 5)
