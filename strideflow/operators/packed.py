@@ -7,9 +7,9 @@ where nothing is known, stretches up to the next delimiter.  A delimiter inside
 a known value is covered together with that value and so does not split it.
 
 The operator is a map: no shuffle of the rows.  Only the dictionary is
-aggregated, and its size is bounded by ``max_entries``; values beyond it are
-cut at their delimiters, which gives the same pieces unless such a rare value
-holds a delimiter and is written without quotes.
+aggregated.  Of the values without a delimiter it has at most ``max_entries``:
+these only weigh where known values with one overlap.  Values with a delimiter
+are all in it.
 """
 
 from __future__ import annotations
@@ -43,8 +43,10 @@ def learn_dictionary(df: DataFrame, columns: list[str], delimiters: str = DELIMI
     """The known whole values, in lower case, most frequent first.
 
     A value is known when it stands alone in a field without any delimiter, or
-    when it was written in quotes.  One aggregation with map-side combine; at
-    most ``max_entries`` strings reach the driver.
+    when it was written in quotes.  A value that holds a delimiter is known from
+    its first time on; of the others those seen ``min_count`` times, at most
+    ``max_entries``.  One aggregation with map-side combine, then both reach the
+    driver.
     """
     raw = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("raw")).where("raw is not null")
     quoted = F.transform(
@@ -58,10 +60,10 @@ def learn_dictionary(df: DataFrame, columns: list[str], delimiters: str = DELIMI
         .select(F.lower(F.trim("value")).alias("value"), "count")
         .where("value <> ''")
         .groupBy("value").agg(F.sum("count").alias("n"))
-        .where(F.col("n") >= min_count)
-        .orderBy(F.desc("n"), "value").limit(max_entries)
     )
-    return [r.value for r in counted.collect()]
+    holds = F.col("value").rlike(_class(delimiters))
+    plain = counted.where(~holds & (F.col("n") >= min_count)).orderBy(F.desc("n"), "value").limit(max_entries)
+    return [r.value for r in sorted(counted.where(holds).unionByName(plain).collect(), key=lambda r: (-r.n, r.value))]
 
 
 def build_automaton(dictionary: list[str]) -> ahocorasick.Automaton | None:

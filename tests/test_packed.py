@@ -44,3 +44,9 @@ def test_unpack(spark):
     assert (4, "g", 1, "d;e") in single and (4, "f", 1, "a") in single and not [r for r in single if r[0] == 3]
     assert unpack(t.limit(0), "link_row", ["f"]).count() == 0
     assert learn_dictionary(t, ["f", "g"], min_count=1) == ["a", "d;e"]
+
+
+def test_rare_values_with_a_delimiter_are_known(spark):
+    t = spark.createDataFrame([(1, "'d;e'"), (2, "x;d;e"), *[(3, "a")] * 3, *[(4, "b")] * 2], "link_row long, f string")
+    assert learn_dictionary(t, ["f"], max_entries=1) == ["a", "d;e"]
+    assert [r for r in rows(unpack(t, "link_row", ["f"])) if r[0] == 2] == [(2, "f", 1, "x"), (2, "f", 2, "d;e")]
