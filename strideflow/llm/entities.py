@@ -24,14 +24,17 @@ def propagate(pairs: DataFrame, members: DataFrame, damping: float = 0.3, tolera
     pair; a pair without any keeps its prior.  In log-odds, a factor tells a
     pair ``-log(1 + sum(exp(m)))`` over what its other pairs tell it.  Messages
     are damped; the rounds end when the largest change is within
-    ``tolerance``, at the latest after ``rounds``.  Factors with a single pair
-    say nothing and are left out beforehand.
+    ``tolerance``.  After each ``rounds`` without that the damping is halfway
+    nearer to 1; messages that don't settle in ten times ``rounds`` raise.
+    Factors with a single pair say nothing and are left out beforehand.
     """
     shared = members.groupBy("factor").count().where("count > 1").select("factor")
     edges = cut(members.distinct().join(shared, "factor").join(pairs.select("pair", "prior"), "pair").select("pair", "factor", "prior", F.lit(0.0).alias("m")))
     big = lambda c: F.exp(F.greatest(F.least(c, F.lit(60.0)), F.lit(-60.0)))
     last = None
-    for _ in range(rounds):
+    for k in range(10 * rounds):
+        if k and k % rounds == 0:
+            damping = (1 + damping) / 2
         total = edges.groupBy("pair").agg(F.sum("m").alias("told"))
         out = edges.join(total, "pair").withColumn("e", big(F.col("prior") + F.col("told") - F.col("m")))
         sums = out.groupBy("factor").agg(F.sum("e").alias("s"))
@@ -43,6 +46,8 @@ def propagate(pairs: DataFrame, members: DataFrame, damping: float = 0.3, tolera
         last, edges = edges, after.drop("change")
         if change is None or change <= tolerance:
             break
+    else:
+        raise RuntimeError(f"messages still change by {change:.3g} after {10 * rounds} rounds")
     told = edges.groupBy("pair").agg(F.sum("m").alias("told"))
     return pairs.join(told, "pair", "left").withColumn("belief", F.col("prior") + F.coalesce("told", F.lit(0.0))).drop("told")
 

@@ -1,6 +1,8 @@
 import itertools
 import math
 
+import pytest
+
 from strideflow.llm.entities import match_roads, propagate
 from tests.conftest import rows
 
@@ -33,6 +35,16 @@ def test_no_factors_keeps_the_prior(spark):
     assert propagate(pairs, spark.createDataFrame([], "pair long, factor string")).first().belief == 0.7
 
 
+def test_propagation_goes_on_until_it_settles(spark):
+    pairs = spark.createDataFrame([(1, 1.0), (2, 0.5), (3, 2.0)], "pair long, prior double")
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b")], "pair long, factor string")
+    settled = {r.pair: r.belief for r in propagate(pairs, members).collect()}
+    early = {r.pair: r.belief for r in propagate(pairs, members, rounds=5).collect()}
+    assert all(abs(early[p] - settled[p]) < 5e-3 for p in settled)
+    with pytest.raises(RuntimeError, match="still change"):
+        propagate(pairs, members, tolerance=1e-9, rounds=1)
+
+
 def test_roads(spark):
     links = [
         (1, pt((0, 0), (60, 0)), "Pitkätie", 5), (2, pt((60, 0), (120, 0)), None, 5), (3, pt((0, 14), (60, 14)), "Toinenkatu", 5), (4, pt((120, 0), (240, 0)), "Pitkätie", 5),
