@@ -26,6 +26,7 @@ class Tokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._core = self._encoding.encode_ordinary
         self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.widths[rank] = len(token)
@@ -33,17 +34,18 @@ class Tokenizer:
     def has_long_run(self, text: str) -> bool:
         return len(text) > RUN and bool(_LONG.search(text))
 
-    def encode(self, text: str) -> list[int]:
-        if not self.has_long_run(text):
-            return self._encoding.encode_ordinary(text)
+    def encode(self, text: str, plain: bool | None = None) -> list[int]:
+        """The tokens; ``plain`` says that the text is known to have no stretch of over ``RUN`` characters."""
+        if plain or not self.has_long_run(text):
+            return self._core(text)
         out, at = [], 0
         for m in _LONG.finditer(text):
-            out += self._encoding.encode_ordinary(text[at : m.end()])
+            out += self._core(text[at : m.end()])
             at = m.end()
-        return out + self._encoding.encode_ordinary(text[at:])
+        return out + self._core(text[at:])
 
-    def count(self, text: str) -> int:
-        return len(self.encode(text)) if text else 0
+    def count(self, text: str, plain: bool | None = None) -> int:
+        return len(self.encode(text, plain)) if text else 0
 
 
 @lru_cache(maxsize=4)
