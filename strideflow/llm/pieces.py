@@ -182,18 +182,17 @@ def split_texts(texts: list[str | None], tok: Tokenizer, limit: int, overlap: in
     """
     if not 0 <= overlap < limit * (1 - least):
         raise ValueError("the overlap must leave room for a piece")
-    held: list[tuple[int, str, list[int], bool]] = []
+    held: list[tuple[int, str, list[int]]] = []
     n = 0
     for i, text in enumerate(texts):
         if not text:
             yield i, []
             continue
-        plain = not tok.has_long_run(text)
-        tokens = tok.encode(text, plain)
+        tokens = tok.encode(text)
         if len(tokens) <= limit:
             yield i, [(0, len(text), len(tokens), 0, "end")]
             continue
-        held.append((i, text, tokens, plain))
+        held.append((i, text, tokens))
         n += len(text)
         if n >= STREAM:
             yield from _split_stream(held, tok, limit, overlap, least)
@@ -202,10 +201,10 @@ def split_texts(texts: list[str | None], tok: Tokenizer, limit: int, overlap: in
         yield from _split_stream(held, tok, limit, overlap, least)
 
 
-def _split_stream(held: list[tuple[int, str, list[int], bool]], tok: Tokenizer, limit: int, overlap: int, least: float) -> Iterator[tuple[int, list]]:
+def _split_stream(held: list[tuple[int, str, list[int]]], tok: Tokenizer, limit: int, overlap: int, least: float) -> Iterator[tuple[int, list]]:
     """Long texts with their tokens, taken as one stream: what arrays can do is done once for all of them."""
-    cp = code_points("\x00".join(t for _, t, _, _ in held))
-    starts = np.cumsum([0, *(len(t) + 1 for _, t, _, _ in held)])
+    cp = code_points("\x00".join(t for _, t, _ in held))
+    starts = np.cumsum([0, *(len(t) + 1 for _, t, _ in held)])
     first, sizes = starts[:-1], np.diff(starts)
     marks, kinds = boundaries_of(cp)
     cuts = np.concatenate([first, marks])
@@ -220,8 +219,8 @@ def _split_stream(held: list[tuple[int, str, list[int], bool]], tok: Tokenizer,
     firm_at = np.flatnonzero((cp[1:-1] == 32) & ~blank[:-2] & ~blank[2:]) + 1
     unit_no = np.searchsorted(cuts, first)
     firm_no = np.searchsorted(firm_at, starts)
-    wide = np.where(cp > 0x7F, 1, 0) + (cp > 0x7FF) + (cp > 0xFFFF) if not all(t.isascii() for _, t, _, _ in held) else None
-    for k, (i, text, tokens, plain) in enumerate(held):
+    wide = np.where(cp > 0x7F, 1, 0) + (cp > 0x7FF) + (cp > 0xFFFF) if not all(t.isascii() for _, t, _ in held) else None
+    for k, (i, text, tokens) in enumerate(held):
         a, b = int(first[k]), int(first[k] + sizes[k] - 1)
         lo, hi = int(unit_no[k]) + 1, int(unit_no[k + 1]) if k + 1 < len(held) else len(cuts)
         firm = (firm_at[firm_no[k] : firm_no[k + 1]] - a).tolist()
@@ -230,10 +229,10 @@ def _split_stream(held: list[tuple[int, str, list[int], bool]], tok: Tokenizer,
         bytes_before = None if wide is None or text.isascii() else np.concatenate([[0], np.cumsum(wide[a:b] + 1)])
         mark_byte = at if bytes_before is None else bytes_before[at]
         mark_token = (np.searchsorted(ends, mark_byte, "left") + (mark_byte > 0)).tolist()
-        yield i, _cut(text, tok, limit, overlap, least, plain, ends.tolist(), bytes_before, firm, at.tolist(), mark_token, worth[lo:hi].tolist(), names[lo:hi])
+        yield i, _cut(text, tok, limit, overlap, least, ends.tolist(), bytes_before, firm, at.tolist(), mark_token, worth[lo:hi].tolist(), names[lo:hi])
 
 
-def _cut(text: str, tok: Tokenizer, limit: int, overlap: int, least: float, plain: bool, ends: list[int], byte_of: np.ndarray | None, firm: list[int], at: list[int], mark_token: list[int], worth: list[float], kinds: list[int]) -> list[tuple[int, int, int, int, str]]:
+def _cut(text: str, tok: Tokenizer, limit: int, overlap: int, least: float, ends: list[int], byte_of: np.ndarray | None, firm: list[int], at: list[int], mark_token: list[int], worth: list[float], kinds: list[int]) -> list[tuple[int, int, int, int, str]]:
     """The pieces of one text: ``ends`` of its tokens in bytes, ``byte_of`` its characters (None: the same), its firm cuts, and its boundaries."""
 
     def token_at(char: int) -> int:
@@ -248,10 +247,10 @@ def _cut(text: str, tok: Tokenizer, limit: int, overlap: int, least: float, plai
     def count(a: int, b: int) -> int:
         """Tokens of the stretch encoded by itself: its ends are encoded, what is between firm cuts was counted."""
         i, j = bisect_right(firm, a), bisect_left(firm, b) - 1
-        if not plain or j <= i:
+        if j <= i:
             return tok.count(text[a:b])
         p, q = firm[i], firm[j]
-        return tok.count(text[a:p], plain) + token_at(q) - token_at(p) + tok.count(text[q:b], plain)
+        return tok.count(text[a:p]) + token_at(q) - token_at(p) + tok.count(text[q:b])
 
     whole = len(ends)
     out: list[tuple[int, int, int, int, str]] = []

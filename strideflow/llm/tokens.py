@@ -1,8 +1,9 @@
 """Token counts under a public byte-level BPE vocabulary.
 
 The vocabulary file's path is a parameter; executors load it once per process.
-Stretches without a blank are encoded ``RUN`` characters at a time, so that a
-text of any length without breaks takes linear time.
+Stretches of over ``RUN`` blanks, which the pattern's engine can't take, are
+encoded as the one piece that the pattern makes of them; the sizes are those of
+the whole text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import tiktoken
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RUN = 4000
-_LONG = re.compile(rf"\S{{{RUN}}}|\s{{{RUN}}}")
+_LONG = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 class Tokenizer:
@@ -31,21 +32,19 @@ class Tokenizer:
         for token, rank in ranks.items():
             self.widths[rank] = len(token)
 
-    def has_long_run(self, text: str) -> bool:
-        return len(text) > RUN and bool(_LONG.search(text))
-
-    def encode(self, text: str, plain: bool | None = None) -> list[int]:
-        """The tokens; ``plain`` says that the text is known to have no stretch of over ``RUN`` characters."""
-        if plain or not self.has_long_run(text):
+    def encode(self, text: str) -> list[int]:
+        if len(text) < RUN or not _LONG.search(text):
             return self._core(text)
         out, at = [], 0
         for m in _LONG.finditer(text):
-            out += self._core(text[at : m.end()])
-            at = m.end()
+            end = m.end() - (m.end() < len(text))  # the last blank goes with what follows
+            out += self._core(text[at : m.start()])
+            out += self._encoding._core_bpe.encode_single_piece(text[m.start() : end].encode())
+            at = end
         return out + self._core(text[at:])
 
-    def count(self, text: str, plain: bool | None = None) -> int:
-        return len(self.encode(text, plain)) if text else 0
+    def count(self, text: str) -> int:
+        return len(self.encode(text)) if text else 0
 
 
 @lru_cache(maxsize=4)

@@ -87,3 +87,11 @@ def test_operator(spark):
     assert len(got) == 2 * len(one) and {r.doc_id for r in got} == {1} and max(r.n_tokens for r in got) <= 200
     assert sorted({(r.piece_no, r.text) for r in got}) == [(k, TEXTS[0][p[0] : p[1]]) for k, p in enumerate(one, 1)]
     assert pieces(df.limit(0)).count() == 0
+
+
+def test_sizes_of_long_stretches_are_the_whole_texts():
+    for t in ("x" * 9000 + "yz" * 3000, "a" + " " * 5000 + "b c", "\n" * 4500, " " * 2_000_000 + "end", "　" * 6000 + "字"):
+        got = TOK.encode(t)
+        assert TOK._encoding.decode(got) == t
+        if len(t) < 20_000:
+            assert got == TOK._encoding.encode_ordinary(t)
