@@ -1,7 +1,9 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strideflow.operators.packed import build_automaton, learn_dictionary, segment, unpack
+from pyspark.sql import functions as F
+
+from strideflow.operators.packed import build_automaton, cut_fields, known_values, learn_dictionary, segment, unpack
 from tests.conftest import rows
 
 A = build_automaton(["asphalt", "wood", "asphalt | patched", "a/b", "no"])
@@ -50,3 +52,17 @@ def test_rare_values_with_a_delimiter_are_known(spark):
     t = spark.createDataFrame([(1, "'d;e'"), (2, "x;d;e"), *[(3, "a")] * 3, *[(4, "b")] * 2], "link_row long, f string")
     assert learn_dictionary(t, ["f"], max_entries=1) == ["a", "d;e"]
     assert [r for r in rows(unpack(t, "link_row", ["f"])) if r[0] == 2] == [(2, "f", 1, "x"), (2, "f", 2, "d;e")]
+
+
+def test_shards_of_a_large_dictionary_give_the_same(spark):
+    t = spark.createDataFrame([(1, "'d;e'"), (2, "x;d;e"), (3, "'a/b'"), (4, "'b/c'"), (5, "c"), (6, "a/b/c"), (7, None), (8, "İx|y"), (9, "İX;D;E")], "key long, raw string").withColumn("tag_field", F.lit("f"))
+    words = known_values(t, ["raw"])
+    one, many = (rows(cut_fields(t.select("key", "tag_field", "raw"), words, n)) for n in (100, 2))
+    assert one == many and dict((r[0], r[2]) for r in one)[2] == ["x", "d;e"] and dict((r[0], r[2]) for r in one)[6] == ["a/b", "c"]
+    assert dict((r[0], r[2]) for r in one)[9] == ["İX", "D;E"] and dict((r[0], r[2]) for r in one)[7] == []
+
+
+def test_no_value_is_too_rare(spark):
+    t = spark.createDataFrame([(k, f"'v{k}/w'") for k in range(300)] + [(1000 + k, f"x;v{k}/w") for k in range(300)], "link_row long, f string")
+    got = {r[0]: r[3] for r in rows(unpack(t, "link_row", ["f"])) if r[2] == 2}
+    assert got == {1000 + k: f"v{k}/w" for k in range(300)}
