@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from strideflow.llm.tokens import VOCABULARY, tokenizer
 from strideflow.plans.lineage import cut
 
-#: Blocks that the whole mix is made of.
-BLOCKS = 20_000
+#: Blocks that the whole mix is made of at least, and that a full shard is made of.
+BLOCKS, SHARD_BLOCKS = 20_000, 16
 #: Tokens of a source that one shard holds, and so one task orders.
 SHARD_TOKENS = 200_000_000
 
@@ -93,17 +94,25 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     shares = {s: v / whole for s, v in shares.items()}
     most = min(held[s] * wanted[s][1] / shares[s] for s in shares)
     total = min(most, total_tokens) if total_tokens else most
+    blocks = max(blocks, math.ceil(total / shard_tokens * SHARD_BLOCKS))  # a block is a small part of a shard, however large the mix
     size = total / blocks  # tokens of a block
     seats = sainte_lague(shares, blocks)
     plan: list[tuple] = []
     for s, n in seats.items():
         mine = {k[1]: v for k, v in sizes.items() if k[0] == s}
-        give = sainte_lague(mine, n, {k: int(v * wanted[s][1] / size + 1e-6) + 1 for k, v in mine.items()})
-        for shard, quota in give.items():
-            tokens = min(quota * size, mine[shard] * wanted[s][1])
-            passes = int(tokens // mine[shard])
+        room = {k: v * wanted[s][1] for k, v in mine.items()}
+        give = sainte_lague(mine, n, {k: int(v / size) for k, v in room.items()})  # whole blocks only
+        tokens = {k: give.get(k, 0) * size for k in mine}
+        short = min(n * size, sum(room.values())) - sum(tokens.values())  # what only parts of blocks can give
+        for k in sorted(mine):
+            more = min(short, room[k] - tokens[k])
+            tokens[k], short = tokens[k] + more, short - more
+        if short > 1e-6 * total:
+            raise AssertionError(f"{s}: {short:.0f} planned tokens are in no shard")
+        for shard, t in tokens.items():
+            passes = int(t // mine[shard])
             start = int.from_bytes(hashlib.blake2b(f"{seed}:{s}:{shard}".encode(), digest_size=6).digest(), "big") / 2**48
-            plan.append((s, shard, passes, float(tokens - passes * mine[shard]), float(int(start * mine[shard] / size) * size), float(mine[shard])))
+            plan.append((s, shard, passes, float(t - passes * mine[shard]), float(int(start * mine[shard] / size) * size), float(mine[shard])))
     quotas = spark.createDataFrame(plan, "source string, shard int, passes int, rest double, start double, size double")
     w = Window.partitionBy("source", "shard").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, -1)
     cum = placed.withColumn("at", F.coalesce(F.sum("tokens").over(w), F.lit(0)))

@@ -13,7 +13,7 @@ from strideflow.llm.mixing import mix, shares_reached
 from strideflow.llm.pieces import pieces
 from strideflow.llm.quantiles import runs, select
 from strideflow.llm.terms import marked, term_counts
-from strideflow.operators.packed import cut_fields, learn_dictionary
+from strideflow.operators.packed import cut_fields, known_values
 from strideflow.queries.data import PIECES_SQL
 from strideflow.sources.tables import read_table
 
@@ -103,24 +103,22 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _values(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
     """Distinct fields of ``links`` with their number of rows, cut into lower-case values."""
     links = read_table(spark, sf_dir, "links", fields)
-    words = learn_dictionary(links, fields)
+    words = known_values(links, fields)
     cells = links.select(F.explode(F.array(*[F.struct(F.lit(f).alias("tag_field"), F.col(f).alias("raw")) for f in fields])).alias("c")).select("c.tag_field", "c.raw")
     counted = cells.where("raw is not null").groupBy("tag_field", "raw").agg(F.count("*").alias("key"))
     return cut_fields(counted, words).select("tag_field", F.transform("items", F.lower).alias("terms"), F.col("key").alias("weight")).where(F.size("terms") > 0)
 
 
-def _counted(spark: SparkSession, sf_dir: str, max_n: int | None) -> DataFrame:
-    """Marked counts of sequences of up to ``max_n`` values, of all that the fields hold where it is None."""
+def _counted(spark: SparkSession, sf_dir: str, max_n: int | None = None) -> DataFrame:
+    """Marked counts of all sequences of values that the fields hold, or of up to ``max_n`` values."""
     values = _values(spark, sf_dir, ["highway", "surface"])
-    if max_n is None:
-        max_n = values.agg(F.max(F.size("terms"))).first()[0] or 1
     sizes = values.groupBy(F.col("tag_field").alias("grp")).agg(F.sum("weight").alias("total"))
     return marked(term_counts(values, "terms", "tag_field", "weight", max_n), sizes)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of two tags that are too rare or too common to be useful."""
-    return _counted(spark, sf_dir, 1).where("mark is not null").select(F.col("grp").alias("tag_field"), F.element_at("term", 1).alias("term"), "mark")
+    return _counted(spark, sf_dir).where("n = 1 and mark is not null").select(F.col("grp").alias("tag_field"), F.element_at("term", 1).alias("term"), "mark")
 
 
 def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +128,7 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_all_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of every sequence, however long."""
-    return _counted(spark, sf_dir, None).select(F.col("grp").alias("tag_field"), F.array_join("term", " > ").alias("term"), "n", "tf", "df", F.coalesce("mark", F.lit("")).alias("mark"))
+    return _counted(spark, sf_dir).select(F.col("grp").alias("tag_field"), F.array_join("term", " > ").alias("term"), "n", "tf", "df", F.coalesce("mark", F.lit("")).alias("mark"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

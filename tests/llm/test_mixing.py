@@ -55,3 +55,11 @@ def test_empty(spark):
     t = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     assert mix(docs.limit(0), t).count() == 0 and mix(docs, t.limit(0)).count() == 0
     assert shares_reached(mix(docs.limit(0), t), t).where("tokens > 0").count() == 0
+
+
+def test_blocks_larger_than_a_shard_keep_the_shares(spark):
+    docs = spark.createDataFrame([(k, "ab"[k % 2], f"river stone {k} alpha beta") for k in range(2000)], "doc_id long, source string, text string")
+    t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    for kw in ({}, {"blocks": 20, "shard_tokens": 300}, {"blocks": 20, "shard_tokens": 300, "total_tokens": 7000}):
+        rep = shares_reached(mix(docs, t, **kw), t).collect()
+        assert all(abs(r.reached_share - 0.5) < 0.01 for r in rep) and abs(sum(r.tokens for r in rep) - kw.get("total_tokens", 1e9)) < 300 or not kw.get("total_tokens")
