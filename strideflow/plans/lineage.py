@@ -40,11 +40,11 @@ def _delete(spark_jvm, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there: computed once, with no lineage behind it."""
+def cut(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read from there: computed once, with no lineage behind it; in folders of their own for the values of ``by``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _written.append(((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()), path))
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
