@@ -10,10 +10,11 @@ off by at most ``eps`` times the number of values.
 ``select`` then finds the elements of given ranks: every run proposes the
 median of what is still possible in it, the weighted median of the proposals
 becomes the pivot of its group, all runs count three ways (less, equal,
-greater), and the ranges ruled out are discarded.  Each round discards at least
-a quarter of a group's values wherever its runs stand, so a hot group costs
-rounds, not a large task; once ``finish`` values are left in a group they are
-put together.
+greater), and the range ruled out is discarded, until the element is found.
+The runs stay where they are; a group's range is two values.  A round is one
+pass over the runs, which counts against the pivot and at once proposes for
+either side of it.  Once a quarter is left of what the runs hold, they are
+written anew.  A hot group costs rounds, never a large task.
 """
 
 from __future__ import annotations
@@ -21,24 +22,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.plans.lineage import cut, drop_cut
 
-#: Values of one group left at which they are put together in one task.
-FINISH = 16_384
+#: Percentiles of groups that are looked for at a time (some 100 bytes each, broadcast); more groups are taken in parts.
+STATES = 500_000
 #: Rows that one task sorts at a time; a larger partition gives several runs per group.
 RUN_ROWS = 2_000_000
 _RUN = "grp bigint, measure string, vals array<double>, wts array<bigint>"
 
 
 def _thin(v: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Every value, or for each ``eps`` of the weight the middle one with the weight of its stretch."""
+    """Every value, without weights, or for each ``eps`` of the weight the middle one with the weight of its stretch."""
+    if not eps:
+        return v, np.zeros(0, np.int64)
     size = max(1, int(2 * eps * len(v)))
-    if size == 1:
-        return v, np.ones(len(v), np.int64)
     starts = np.arange(0, len(v), size)
     ends = np.minimum(starts + size, len(v))
     return v[(starts + ends - 1) // 2], (ends - starts).astype(np.int64)
@@ -55,7 +57,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], measures: list[str], eps: fl
         grp = table.column(0).to_numpy()
         for i, m in enumerate(measures):
             v = table.column(i + 1).to_numpy(zero_copy_only=False)
-            ok = np.isfinite(v)
+            ok = ~np.isnan(v)
             g, x = grp[ok], v[ok]
             order = np.lexsort((x, g))
             g, x = g[order], x[order]
@@ -82,143 +84,188 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], measures: list[str], eps: fl
 def runs(df: DataFrame, group: str, measures: list[str], eps: float = 0.0) -> DataFrame:
     """Sorted runs ``(grp, measure, vals, wts)`` of the values per group, made where the rows are.
 
-    NULL, NaN and infinite values don't count, nor do rows with a NULL group.
+    NULL and NaN don't count, nor do rows with a NULL group.
     Unions of runs, of any days or partitions, are runs again.
     """
     src = df.where(F.col(group).isNotNull()).select(F.col(group).cast("bigint").alias("g"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(measures)])
     return src.mapInArrow(lambda it: _sorted_runs(it, measures, eps), _RUN)
 
 
-def _first_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A run's proposal: the weighted median of its slice and the slice's weight."""
-    for b in batches:
-        off = b.column("vals").offsets.to_numpy()
-        v, w = b.column("vals").flatten().to_numpy(), b.column("wts").flatten().to_numpy()
+def _bisect(v: np.ndarray, start: np.ndarray, end: np.ndarray, x: np.ndarray, right: bool) -> np.ndarray:
+    """For every slice of ``v`` where its value would go, before or behind equal ones."""
+    lo, hi = start.copy(), end.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) // 2
+        up = v[mid] <= x[open_] if right else v[mid] < x[open_]
+        lo[open_[up]] = mid[up] + 1
+        hi[open_[~up]] = mid[~up]
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
+
+
+class _States:
+    """The percentiles looked for in this round, by group and measure; sorted, so that a group's stand together."""
+
+    def __init__(self, grp, measure, q, low, high, has_low, has_high, pivot):
+        self.grp, self.measure, self.q, self.low, self.high, self.has_low, self.has_high, self.pivot = grp, measure, q, low, high, has_low, has_high, pivot
+
+    def of(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(run, state) for every run of the batch and each percentile that is looked for in it."""
+        grp, q = b.column("grp").to_numpy(), b.column("q").to_numpy(zero_copy_only=False)
+        names = np.array(b.column("measure").to_pylist(), object)
+        lo, hi = np.zeros(len(grp), np.int64), np.zeros(len(grp), np.int64)
+        for m in set(names.tolist()):
+            s, e = np.searchsorted(self.measure, m, "left"), np.searchsorted(self.measure, m, "right")
+            mine = np.flatnonzero(names == m)
+            lo[mine], hi[mine] = s + np.searchsorted(self.grp[s:e], grp[mine], "left"), s + np.searchsorted(self.grp[s:e], grp[mine], "right")
+        n = hi - lo
+        run = np.repeat(np.arange(len(grp)), n)
+        state = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        fits = np.isnan(q[run]) | (q[run] == self.q[state])  # a run written anew belongs to one percentile
+        return run[fits], state[fits]
+
+    def ranges(self, b: pa.RecordBatch):
+        """Runs, states, the runs' values and weights before each of them, and the slices that are still possible."""
+        run, state = self.of(b)
+        off = b.column("vals").offsets.to_numpy().astype(np.int64)
+        v, w = b.column("vals").flatten().to_numpy(), b.column("wts").flatten().to_numpy(zero_copy_only=False)
         off = off - off[0]
-        cum = np.concatenate([[0], np.cumsum(w)])
-        lo, hi = off[:-1], off[1:]
-        weight = cum[hi] - cum[lo]
-        at = np.searchsorted(cum, cum[lo] + (weight + 1) // 2, side="left") - 1
-        yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("measure"), b.column("q"), pa.array(v[np.minimum(at, len(v) - 1)] if len(v) else np.zeros(0)), pa.array(weight)], ["grp", "measure", "q", "mid", "w"])
+        if 0 < len(w) < len(v):  # runs without weights among others: each of their values counts once
+            some = w
+            w = np.ones(len(v), np.int64)
+            w[np.repeat(np.diff(b.column("wts").offsets.to_numpy()) > 0, np.diff(off))] = some
+        cum = np.concatenate([[0], np.cumsum(w)]) if len(w) else np.arange(len(v) + 1)
+        s, e = off[run], off[run + 1]
+        s = np.where(self.has_low[state], _bisect(v, s, e, self.low[state], True), s)
+        e = np.where(self.has_high[state], _bisect(v, s, e, self.high[state], False), e)
+        keep = e > s
+        return run[keep], state[keep], v, w, cum, s[keep], e[keep]
+
+
+_COUNTS = ["state", "less", "same", "below", "above", "mid_left", "w_left", "mid_right", "w_right"]
+
 
+def _middle(v: np.ndarray, cum: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted median and the weight of every slice; of empty ones 0."""
+    weight = cum[e] - cum[s]
+    at = np.searchsorted(cum, cum[s] + (weight + 1) // 2, side="left") - 1
+    return np.where(weight > 0, v[np.clip(at, 0, len(v) - 1)] if len(v) else 0.0, 0.0), weight
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three-way counts of a slice against its group's pivot, and the neighbours of the pivot."""
+
+def _count(batches: Iterator[pa.RecordBatch], states: _States) -> Iterator[pa.RecordBatch]:
+    """Three-way counts of every run against the pivots, the pivots' neighbours, and proposals for both sides."""
     for b in batches:
-        v, w, off, pivot = _slices(b)
-        lo, eq, hi = _edges(v, off, pivot)
-        cum = np.concatenate([[0], np.cumsum(w)])
-        s, e = off[:-1], off[1:]
+        run, state, v, _, cum, s, e = states.ranges(b)
+        p = states.pivot[state]
+        lo, eq = _bisect(v, s, e, p, False), _bisect(v, s, e, p, True)
         below = np.where(lo > s, v[np.maximum(lo - 1, 0)] if len(v) else 0.0, -np.inf)
         above = np.where(eq < e, v[np.minimum(eq, max(len(v) - 1, 0))] if len(v) else 0.0, np.inf)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("grp"), b.column("measure"), b.column("q"), *(pa.array(x) for x in (cum[lo] - cum[s], cum[eq] - cum[lo], below, above))],
-            ["grp", "measure", "q", "less", "same", "below", "above"],
-        )
-
+        cols = [state, cum[lo] - cum[s], cum[eq] - cum[lo], below, above, *_middle(v, cum, s, lo), *_middle(v, cum, eq, e)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _COUNTS)
 
-def _slices(b: pa.RecordBatch):
-    off = b.column("vals").offsets.to_numpy()
-    return b.column("vals").flatten().to_numpy(), b.column("wts").flatten().to_numpy(), off - off[0], b.column("pivot").to_numpy()
 
-
-def _edges(v: np.ndarray, off: np.ndarray, pivot: np.ndarray):
-    """Per slice the positions of the first value not less than, and the first greater than, the pivot."""
-    lo, eq = np.empty(len(pivot), np.int64), np.empty(len(pivot), np.int64)
-    for i, p in enumerate(pivot):
-        s, e = off[i], off[i + 1]
-        lo[i] = s + np.searchsorted(v[s:e], p, "left")
-        eq[i] = s + np.searchsorted(v[s:e], p, "right")
-    return lo, eq, off[1:]
+def _propose(batches: Iterator[pa.RecordBatch], states: _States) -> Iterator[pa.RecordBatch]:
+    """The first proposals: the medians of whole runs."""
+    for b in batches:
+        run, state, v, _, cum, s, e = states.ranges(b)
+        nothing = np.zeros(len(state), np.int64)
+        ends = np.full(len(state), np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (state, nothing, nothing, -ends, ends, np.zeros(len(state)), nothing, *_middle(v, cum, s, e))], _COUNTS)
 
 
-def _discard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each slice: the side of the pivot that the group goes on with."""
+def _narrow(batches: Iterator[pa.RecordBatch], states: _States) -> Iterator[pa.RecordBatch]:
+    """The runs' slices that are still possible, each for one percentile."""
     for b in batches:
-        v, w, off, pivot = _slices(b)
-        side = b.column("side").to_numpy()
-        lo, eq, end = _edges(v, off, pivot)
-        s, e = np.where(side < 0, off[:-1], eq), np.where(side < 0, lo, end)
-        keep = np.flatnonzero(e > s)
+        run, state, v, w, _, s, e = states.ranges(b)
+        some = pa.array(run)
         yield pa.RecordBatch.from_arrays(
-            [b.column("grp").take(pa.array(keep)), b.column("measure").take(pa.array(keep)), b.column("q").take(pa.array(keep)),
-             _lists([v[s[i] : e[i]] for i in keep], pa.float64()), _lists([w[s[i] : e[i]] for i in keep], pa.int64())],
+            [b.column("grp").take(some), b.column("measure").take(some), pa.array(states.q[state]),
+             _lists([v[i:j] for i, j in zip(s, e)], pa.float64()), _lists([w[i:j] if len(w) else w for i, j in zip(s, e)], pa.int64())],
             ["grp", "measure", "q", "vals", "wts"],
         )
 
 
-def _together(key, table):
-    v, w = table.column("vals").combine_chunks().flatten().to_numpy(), table.column("wts").combine_chunks().flatten().to_numpy()
-    order = np.argsort(v, kind="stable")
-    v, cum = v[order], np.cumsum(w[order])
-    rank, need_next, upper = table.column("rank")[0].as_py(), table.column("both")[0].as_py(), table.column("upper")[0].as_py()
-    i = int(np.searchsorted(cum, rank, "right"))
-    low = float(v[i])
-    high = low
-    if need_next:
-        j = int(np.searchsorted(cum, rank + 1, "right"))
-        high = float(v[j]) if j < len(v) else upper
-    return pa.table({"grp": [key[0].as_py()], "measure": [key[1].as_py()], "q": [key[2].as_py()], "low": [low], "high": [high]})
-
-
-_KEYS = ["grp", "measure", "q"]
+def _part(held: DataFrame, totals: pd.DataFrame, quantiles: list[float]) -> pd.DataFrame:
+    """(grp, measure, q, n, value) of the groups in ``totals``, whose runs are ``held``."""
+    context, own = held.sparkSession.sparkContext, None
+    st = totals.merge(pd.DataFrame({"q": [float(q) for q in dict.fromkeys(quantiles)]}), how="cross")
+    position = st.q * (st.n - 1)
+    st["rank"], st["part"] = np.floor(position).astype(np.int64), position - np.floor(position)
+    st["left"], st["low"], st["high"], st["has_low"], st["has_high"] = st.n, 0.0, 0.0, False, False
+    st["mid"], st["value"], st["upper"] = np.nan, np.nan, np.nan
+    st = st.sort_values(["measure", "grp", "q"], ignore_index=True)
+    done, size = [], int(st.n.sum() // max(1, len(set(quantiles))))
 
+    def run(step, kind: str) -> DataFrame:
+        shared = context.broadcast(_States(*(st[c].to_numpy() for c in ("grp", "measure", "q", "low", "high", "has_low", "has_high", "mid"))))
+        return held.mapInArrow(lambda it: step(it, shared.value), kind)
 
-def select(run_table: DataFrame, quantiles: list[float], least: int = 1, finish: int = FINISH) -> DataFrame:
+    first = True
+    while len(st):
+        rows = run(_propose if first else _count, "state bigint, less bigint, same bigint, below double, above double, mid_left double, w_left bigint, mid_right double, w_right bigint")
+        got = rows.groupBy("state").agg(
+            F.sum("less").alias("less"), F.sum("same").alias("same"), F.max("below").alias("below"), F.min("above").alias("above"),
+            F.expr("percentile(mid_left, 0.5, w_left)").alias("pl"), F.expr("percentile(mid_right, 0.5, w_right)").alias("pr"),
+        ).toArrow().to_pandas().set_index("state")
+        st = st.join(got)
+        if not first:
+            le = st.less + st.same
+            hit = (st["rank"] >= st.less) & (st["rank"] < le)
+            edge = (st["rank"] == st.less - 1) & (st.part > 0)  # the largest of the lesser ones, and the next element is the pivot or above it
+            above = np.where(np.isfinite(st.above) | ~st.has_high, st.above, st.high)
+            here = np.where(hit, st.mid, st.below)
+            over = np.where(hit, np.where(st["rank"] + 1 < le, st.mid, above), np.where(st.same > 0, st.mid, above))
+            ended = hit | edge
+            end = st[ended].copy()
+            with np.errstate(invalid="ignore"):
+                end["value"] = here[ended] + np.where((end.part > 0) & (over[ended] != here[ended]), (over[ended] - here[ended]) * end.part, 0.0)
+            done.append(end[["grp", "measure", "q", "n", "value"]])
+            down = st["rank"] < st.less
+            # the range ruled out goes; its bound is an element, or the pivot where that is none
+            high = np.where(st.same > 0, st.mid, above)
+            st["high"], st["has_high"] = np.where(down, high, st.high), st.has_high | down
+            low = np.where(st.same > 0, st.mid, st.below)
+            st["low"], st["has_low"] = np.where(down, st.low, low), st.has_low | ~down
+            st["left"], st["rank"] = np.where(down, st.less, st.left - le), np.where(down, st["rank"], st["rank"] - le)
+            st["mid"] = np.where(down, st.pl, st.pr)
+            st = st[~ended]
+        else:
+            st["mid"] = st.pr
+        st = st.drop(columns=["less", "same", "below", "above", "pl", "pr"]).reset_index(drop=True)
+        st["mid"] = st.mid.fillna(0.0)  # between the two infinities
+        first = False
+        if len(st) and st.left.sum() * 4 <= size and size > 100_000:
+            narrowed = cut(run(_narrow, "grp bigint, measure string, q double, vals array<double>, wts array<bigint>"))
+            if own is not None:
+                drop_cut(own)
+            held = own = narrowed
+            size = int(st.left.sum())
+    return pd.concat(done, ignore_index=True)
+
+
+def select(run_table: DataFrame, quantiles: list[float], least: int = 1, states: int = STATES) -> DataFrame:
     """``(grp, measure, q, n, value)`` for every group with at least ``least`` values: percentiles with linear interpolation between ranks.
 
     Exact over exact runs.  Groups without values give no row; equal values
-    are one step of the search, however many there are.
+    are one step of the search, however many there are.  Beyond ``states``
+    percentiles the groups are taken in parts, by hash, each with runs of its own.
     """
-    held = cut(run_table)
-    totals = cut(held.groupBy("grp", "measure").agg(F.sum(F.aggregate("wts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).where(F.col("n") >= least))
-    wanted = totals.select("*", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q"))
-    position = F.col("q") * (F.col("n") - 1)
-    # rank: of the lower element within what is left; both: the next element is needed too; upper: the smallest value above what is left
-    state = cut(wanted.select(*_KEYS, "n", F.floor(position).alias("rank"), (position - F.floor(position)).alias("part"), F.col("n").alias("left"), F.lit(float("inf")).alias("upper")).withColumn("both", F.col("part") > 0))
-    done = []
-    first = True
-    while True:
-        small = state.where(F.col("left") <= finish)
-        live = state.where(F.col("left") > finish)
-        source = held.join(state.select("grp", "measure", "q"), ["grp", "measure"]) if first else held.join(state.select(*_KEYS), _KEYS)
-        counts = state.agg(F.count_if(F.col("left") <= finish).alias("small"), F.count_if(F.col("left") > finish).alias("live")).first()
-        if counts.small:
-            done.append(cut(source.select(*_KEYS, "vals", "wts").join(small.select(*_KEYS, "rank", "both", "upper"), _KEYS).groupBy(*_KEYS).applyInArrow(_together, "grp bigint, measure string, q double, low double, high double")))
-        if not counts.live:
-            break
-        active = source.select(*_KEYS, "vals", "wts").join(live.select(*_KEYS), _KEYS)
-        proposals = active.mapInArrow(_first_targets, "grp bigint, measure string, q double, mid double, w bigint")
-        pivots = proposals.groupBy(*_KEYS).agg(F.expr("percentile(mid, 0.5, w)").alias("pivot"))
-        pivots = cut(pivots)
-        counted = active.join(pivots, _KEYS).select(*_KEYS, "vals", "wts", "pivot").mapInArrow(_count, "grp bigint, measure string, q double, less bigint, same bigint, below double, above double")
-        ways = counted.groupBy(*_KEYS).agg(F.sum("less").alias("less"), F.sum("same").alias("same"), F.max("below").alias("below"), F.min("above").alias("above"))
-        judged = cut(live.join(pivots, _KEYS).join(ways, _KEYS))
-        le = F.col("less") + F.col("same")
-        hit = (F.col("rank") >= F.col("less")) & (F.col("rank") < le)
-        edge = F.col("rank") == F.col("less") - 1  # the largest of the lesser ones
-        next_up = F.least("above", "upper")
-        found = judged.where(hit | (edge & F.col("both"))).select(
-            *_KEYS, F.when(hit, F.col("pivot")).otherwise(F.col("below")).alias("low"),
-            F.when(~F.col("both"), F.when(hit, F.col("pivot")).otherwise(F.col("below"))).when(hit, F.when(F.col("rank") + 1 < le, F.col("pivot")).otherwise(next_up)).otherwise(F.when(F.col("same") > 0, F.col("pivot")).otherwise(next_up)).alias("high"),
-        )
-        done.append(found)
-        go_on = judged.where(~(hit | (edge & F.col("both"))))
-        down = F.col("rank") < F.col("less")
-        next_state = go_on.select(
-            *_KEYS, "n", F.when(down, F.col("rank")).otherwise(F.col("rank") - le).alias("rank"), "part",
-            F.when(down, F.col("less")).otherwise(F.col("left") - le).alias("left"),
-            F.when(down, F.when(F.col("same") > 0, F.col("pivot")).otherwise(next_up)).otherwise(F.col("upper")).alias("upper"), "both",
-            "pivot", F.when(down, -1).otherwise(1).alias("side"),
-        )
-        kept = active.join(next_state.select(*_KEYS, "pivot", "side"), _KEYS).select(*_KEYS, "vals", "wts", "pivot", "side").mapInArrow(_discard, "grp bigint, measure string, q double, vals array<double>, wts array<bigint>")
-        narrowed = cut(kept)
-        drop_cut(held)
-        held, first, state = narrowed, False, next_state.drop("pivot", "side")
-    if not done:
-        return totals.select("grp", "measure", F.lit(0.0).alias("q"), "n", F.lit(0.0).alias("value")).limit(0)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    asked = wanted.select(*_KEYS, "n", (position - F.floor(position)).alias("part"))
-    return asked.join(out, _KEYS).select(*_KEYS, "n", (F.col("low") + F.when(F.col("part") > 0, (F.col("high") - F.col("low")) * F.col("part")).otherwise(0.0)).alias("value"))
+    spark = run_table.sparkSession
+    weight = F.when(F.size("wts") > 0, F.aggregate("wts", F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(F.size("vals").cast("bigint"))
+    held = cut(run_table.select("grp", "measure", F.lit(None).cast("double").alias("q"), "vals", "wts"))
+    totals = cut(held.groupBy("grp", "measure").agg(F.sum(weight).alias("n")).where(F.col("n") >= least))
+    parts = max(1, -(-totals.count() * len(quantiles) // states))
+    if parts > 1:
+        by = F.pmod(F.xxhash64("grp", "measure"), F.lit(parts)).alias("part")
+        held, whole = cut(held.select("*", by), by=["part"]), held
+        totals = totals.select("*", by)
+        drop_cut(whole)
+    kind, out = "grp bigint, measure string, q double, n bigint, value double", None
+    for k in range(parts):
+        mine = totals.where(F.col("part") == k).drop("part").toArrow().to_pandas() if parts > 1 else totals.toArrow().to_pandas()
+        if len(mine):
+            found = _part(held.where(F.col("part") == k).drop("part") if parts > 1 else held, mine, quantiles)
+            table = cut(spark.createDataFrame(pa.Table.from_pandas(found, preserve_index=False), kind))
+            out = table if out is None else out.unionByName(table)
+    return spark.createDataFrame([], kind) if out is None else out
