@@ -2,10 +2,11 @@
 
 Every entry stands in the tree under the forms it may be typed in (its full
 base, with the ending abbreviated, cut off).  The tree's metric is the
-Levenshtein distance, computed bit-parallel for all nodes of a level at once;
-the triangle inequality prunes the children, so a search returns every form
-within the radius.  Trees are sharded by scope (here: the city) and by size,
-built once and broadcast; winners of the shards are merged.
+Levenshtein distance, computed bit-parallel for all queries and nodes of a level
+at once; the triangle inequality prunes the children, so a search returns every
+form within the radius.  Shards hold whole scopes (here: cities) up to a size,
+larger scopes in several; each shard is built once and broadcast by itself, and
+what the shards return is put together.
 
 Only distinct typed values are searched; what they may mean is joined back.
 """
@@ -17,14 +18,17 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Forms in one broadcast tree (some 100 bytes each).
-SHARD_FORMS = 100_000
+from strideflow.plans.lineage import cut
+
+#: Entries in one broadcast shard (some 20 forms of 100 bytes each).
+SHARD_ENTRIES = 20_000
 _MOJIBAKE = re.compile("[ÃÂãâ][\u0080-¿ŒœŠšŸŽžƒˆ˜–-™€]")
 
 
@@ -48,71 +52,72 @@ def fold(text: str) -> str:
 
 
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the characters, padded with 0, and the lengths."""
-    raw = [np.array([1 + ord(c) % 255 for c in w], np.uint8) for w in words]
-    out = np.zeros((len(words), max([1, *map(len, raw)])), np.uint8)
-    for i, r in enumerate(raw):
-        out[i, : len(r)] = r
-    return out, np.array([len(r) for r in raw], np.int64)
+    """The characters' code points, padded with -1, and the lengths."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    out = np.full((len(words), max(1, int(lengths.max())) if len(words) else 1), -1, np.int32)
+    if len(words):
+        out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
+    return out, lengths
+
+
+def pair_distances(q_codes: np.ndarray, q_lengths: np.ndarray, q: np.ndarray, codes: np.ndarray, lengths: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Levenshtein distance of query ``q[k]`` to word ``w[k]``, by Myers' bit vectors for all pairs at once (queries of over 63 characters by the plain recurrence)."""
+    out = np.zeros(len(q), np.int64)
+    long_ = q_lengths[q] > 63
+    for i in np.unique(q[long_]):
+        mine = np.flatnonzero(long_ & (q == i))
+        out[mine] = _plain(q_codes[i, : q_lengths[i]], codes[w[mine]], lengths[w[mine]])
+    k = np.flatnonzero(~long_)
+    if not len(k):
+        return out
+    used, qi = np.unique(q[k], return_inverse=True)
+    n = q_lengths[used]
+    letters, at = np.unique(q_codes[used], return_inverse=True)
+    at = at.reshape(len(used), -1)
+    # bits of a query's places that hold a letter; the last column is for letters that no query has
+    peq = np.zeros((len(used), len(letters) + 1), np.uint64)
+    for j in range(int(n.max()) if len(n) else 0):
+        has = np.flatnonzero(n > j)
+        peq[has, at[has, j]] |= np.uint64(1 << j)
+    words, wi = np.unique(w[k], return_inverse=True)
+    place = np.searchsorted(letters, codes[words])
+    place = np.where((place < len(letters)) & (letters[np.minimum(place, len(letters) - 1)] == codes[words]), place, len(letters))
+    m, length = n[qi], lengths[w[k]]
+    one, top = np.uint64(1), np.where(m > 0, m - 1, 0).astype(np.uint64)
+    vp, vn = np.full(len(k), ~np.uint64(0)), np.zeros(len(k), np.uint64)
+    score, base = m.copy(), qi * peq.shape[1]
+    flat = peq.ravel()
+    for j in range(int(length.max())):
+        eq = flat[base + place[wi, j]]
+        d0 = (((eq & vp) + vp) ^ vp) | eq | vn
+        hp, hn = vn | ~(d0 | vp), d0 & vp
+        score += (length > j) * (((hp >> top) & one).astype(np.int64) - ((hn >> top) & one).astype(np.int64))
+        hp, hn = (hp << one) | one, hn << one
+        vp, vn = hn | ~(d0 | hp), hp & d0
+    out[k] = np.where(m > 0, score, length)
+    return out
 
 
-def _one_distance(q: list[int], word: list[int]) -> int:
-    """Myers' recurrence for a single pair, on one whole number."""
+def _plain(q: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The recurrence of the edit distance, row by row, for one query and many words."""
     m = len(q)
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    peq: dict[int, int] = {}
-    for i, c in enumerate(q):
-        peq[c] = peq.get(c, 0) | 1 << i
-    vp, vn, score = full, 0, m
-    for c in word:
-        eq = peq.get(c, 0)
-        d0 = (((eq & vp) + vp) ^ vp) | eq | vn
-        hp, hn = vn | ~(d0 | vp), d0 & vp
-        if hp & top:
-            score += 1
-        if hn & top:
-            score -= 1
-        hp, hn = (hp << 1) | 1, hn << 1
-        vp, vn = (hn | ~(d0 | hp)) & full, hp & d0 & full
-    return score
+    row = np.tile(np.arange(m + 1), (len(codes), 1))
+    out = np.where(lengths == 0, m, 0)
+    for j in range(int(lengths.max()) if len(lengths) else 0):
+        new = np.empty_like(row)
+        new[:, 0] = j + 1
+        new[:, 1:] = np.minimum(row[:, :-1] + (codes[:, j, None] != q[None, :]), row[:, 1:] + 1)
+        # insertions: the least of what stands to the left, one more for each place
+        new = np.minimum.accumulate(new - np.arange(m + 1), axis=1) + np.arange(m + 1)
+        row = new
+        out = np.where(lengths == j + 1, row[:, m], out)
+    return out
 
 
 def distances(query: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Levenshtein distance of ``query`` to every row, by Myers' bit vectors (longer ones by the plain recurrence)."""
-    m = len(query)
-    if m == 0:
-        return lengths.copy()
-    q = [1 + ord(c) % 255 for c in query]
-    width = int(lengths.max()) if len(lengths) else 0
-    if m > 63:
-        row = np.tile(np.arange(m + 1), (len(codes), 1))
-        out = np.where(lengths == 0, m, 0)
-        for j in range(width):
-            cost = (codes[:, j, None] != np.array(q, np.uint8)[None, :]).astype(np.int64)
-            new = np.empty_like(row)
-            new[:, 0] = j + 1
-            diag = np.minimum(row[:, :-1] + cost, row[:, 1:] + 1)
-            for k in range(m):
-                new[:, k + 1] = np.minimum(diag[:, k], new[:, k] + 1)
-            row = new
-            out = np.where(lengths == j + 1, row[:, m], out)
-        return out
-    if len(codes) <= 16:
-        return np.array([_one_distance(q, row[:n]) for row, n in zip(codes.tolist(), lengths.tolist())], np.int64)
-    peq = np.zeros(256, np.uint64)
-    for i, c in enumerate(q):
-        peq[c] |= np.uint64(1 << i)
-    one, top = np.uint64(1), np.uint64(m - 1)
-    vp, vn = np.full(len(codes), ~np.uint64(0)), np.zeros(len(codes), np.uint64)
-    score = np.full(len(codes), m, np.int64)
-    for j in range(width):
-        eq = peq[codes[:, j]]
-        d0 = (((eq & vp) + vp) ^ vp) | eq | vn
-        hp, hn = vn | ~(d0 | vp), d0 & vp
-        score += (lengths > j) * (((hp >> top) & one).astype(np.int64) - ((hn >> top) & one).astype(np.int64))
-        hp, hn = (hp << one) | one, hn << one
-        vp, vn = hn | ~(d0 | hp), hp & d0
-    return score
+    """Levenshtein distance of ``query`` to every row."""
+    n = len(codes)
+    return pair_distances(*encode([query]), np.zeros(n, np.int64), codes, lengths, np.arange(n)) if n else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -148,19 +153,27 @@ class BKTree:
         order = np.array(order, int)
         return cls([words[i] for i in order], codes[order], lengths[order], np.array(edge, int), np.array(first, int), np.array(last, int))
 
+    def within_many(self, queries: list[str], radii: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, word, distance) of every word at most its query's radius away; level by level for all queries."""
+        q_codes, q_lengths = encode(queries)
+        q = np.arange(len(queries) if self.words else 0)
+        node = np.zeros(len(q), np.int64)
+        out = []
+        while len(q):
+            d = pair_distances(q_codes, q_lengths, q, self.codes, self.lengths, node)
+            near = d <= radii[q]
+            out.append((q[near], node[near], d[near]))
+            n = self.last[node] - self.first[node]
+            parent = np.repeat(np.arange(len(node)), n)
+            child = np.repeat(self.first[node], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            go = np.abs(self.edge[child] - d[parent]) <= radii[q[parent]]
+            q, node = q[parent[go]], child[go]
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
     def within(self, query: str, radius: int) -> list[tuple[str, int]]:
         """Every word at most ``radius`` edits from ``query``, with its distance."""
-        out: list[tuple[str, int]] = []
-        level = np.arange(min(1, len(self.words)))
-        while len(level):
-            d = distances(query, self.codes[level], self.lengths[level])
-            near = d <= radius
-            out += [(self.words[i], int(x)) for i, x in zip(level[near], d[near])]
-            n = self.last[level] - self.first[level]
-            parent = np.repeat(np.arange(len(level)), n)
-            child = np.repeat(self.first[level], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            level = child[np.abs(self.edge[child] - d[parent]) <= radius]
-        return out
+        _, node, d = self.within_many([query], np.array([radius]))
+        return [(self.words[i], int(x)) for i, x in zip(node, d)]
 
 
 # ------------------------------------------------------- forms and variants
@@ -179,6 +192,20 @@ class Spelling:
 _WORD = re.compile(r"[^\W_]+")
 
 
+@lru_cache(maxsize=100_000)
+def _meant(w: str, additions: tuple[str, ...]) -> str:
+    """The addition that a word is, begins or is a misspelling of; else ''."""
+    for a in additions:
+        if w == a or (len(w) >= 2 and a.startswith(w)):
+            return a
+    if len(w) >= 4 and additions:
+        d = distances(w, *encode(list(additions)))
+        k = int(d.argmin())
+        if d[k] <= (1 if len(w) < 7 else 2):
+            return additions[k]
+    return ""
+
+
 def split_value(text: str, spelling: Spelling, scopes: list[str] = ()) -> tuple[str, str, str | None]:
     """(base without blanks, addition or '', scope named in the text or None) of a typed value."""
     t = " " + fold(text) + " "
@@ -193,22 +220,9 @@ def split_value(text: str, spelling: Spelling, scopes: list[str] = ()) -> tuple[
     words = _WORD.findall(t.replace("-", ""))
     addition = ""
 
-    def meant(w: str) -> str:
-        for a in spelling.additions:
-            if w == a or (len(w) >= 2 and a.startswith(w)):
-                return a
-        if len(w) >= 4:
-            codes, lengths = encode(list(spelling.additions))
-            if len(codes):
-                d = distances(w, codes, lengths)
-                k = int(d.argmin())
-                if d[k] <= (1 if len(w) < 7 else 2):
-                    return spelling.additions[k]
-        return ""
-
     if len(words) > 1:
         for k in (len(words) - 1, 0):
-            if a := meant(words[k]):
+            if a := _meant(words[k], spelling.additions):
                 addition = a
                 del words[k]
                 break
@@ -236,98 +250,120 @@ class Entry:
 
 
 class Reference:
-    """The entries' trees, one per scope and one over all."""
+    """A shard's trees, one per scope and one over all its entries; ``scopes`` are those of all shards."""
 
-    def __init__(self, rows: list[tuple], spelling: Spelling):
-        self.spelling = spelling
-        self._lately: dict[tuple[str, str, int], list[tuple[str, int]]] = {}
+    def __init__(self, rows: list[tuple], spelling: Spelling, scopes: list[str]):
+        self.spelling, self.scopes, self.known = spelling, scopes, set(scopes)
         self.by_form: dict[str, dict[str, list[Entry]]] = defaultdict(lambda: defaultdict(list))
-        self.scopes = sorted({fold(r[1]).strip() for r in rows if r[1]}, key=lambda s: (-len(s), s))
         for id_, scope, name, x, y in rows:
             base, addition, _ = split_value(name, spelling)
-            scope = fold(scope or "").strip()
+            scope = scope_of(scope)
             e = Entry(id_, scope, base, addition, x, y)
             for f in forms_of(base, spelling):
-                self.by_form[scope][f].append(e)
-                self.by_form[""][f].append(e)
+                for s in {scope, ""}:
+                    self.by_form[s][f].append(e)
         self.by_form = {s: dict(f) for s, f in self.by_form.items()}
         self.trees = {s: BKTree.build(list(f)) for s, f in self.by_form.items()}
 
-    def _forms(self, scope: str, base: str, radius: int) -> list[tuple[str, int]]:
-        """Forms within the radius; what was searched lately is remembered, as many spellings have one base."""
-        if radius == 0:
-            return [(base, 0)] * (base in self.by_form[scope])
-        at = (scope, base, radius)
-        if at not in self._lately:
-            if len(self._lately) >= 50_000:
-                self._lately.clear()
-            self._lately[at] = self.trees[scope].within(base, radius)
-        return self._lately[at]
-
-    def search(self, scope: str | None, text: str, loose: float = 0.34, most: int = 6) -> list[tuple[int, int, bool, float, float]]:
-        """Candidates (id, edits, same addition, x, y): every entry with a form within the radius, at its least distance."""
-        base, addition, named = split_value(text, self.spelling, self.scopes)
-        s = fold(scope or "").strip()
-        s = s if s in self.trees else named or ""
-        if s not in self.trees:  # an empty reference list
-            return []
-        if len(base) < 4:
-            return []
-        best: dict[int, tuple] = {}
-        for radius in (0, 1, min(most, int(len(base) * loose))):  # a wider search only where the narrower finds none with the addition
-            for form, d in self._forms(s, base, radius):
-                for e in self.by_form[s][form]:
-                    c = (d + (0 if form == e.base else 0.25), e.id, e.addition == addition, e.x, e.y)
-                    if e.id not in best or c < best[e.id]:
-                        best[e.id] = c
-            if any(c[2] for c in best.values()):
-                break
-        return [(c[1], c[0], c[2], c[3], c[4]) for c in sorted(best.values())]
+    def search(self, values: list[tuple[str | None, str]], loose: float = 0.34) -> list[list[tuple[int, float, bool, float, float, int]]]:
+        """Of every (scope, text) its candidates (id, edits, same addition, x, y, letters of the base).
+
+        Every entry with a form within the radius, ``loose`` of the letters, at
+        its least distance; a form other than the base counts a quarter more.
+        Bases of under four letters match as they are.  A scope that no entry
+        has, and a missing one, searches all scopes.
+        """
+        out: list[list] = [[] for _ in values]
+        parts: dict[str, dict[str, list[tuple[int, str]]]] = defaultdict(lambda: defaultdict(list))
+        for k, (scope, text) in enumerate(values):
+            base, addition, named = split_value(text, self.spelling, self.scopes)
+            s = scope_of(scope)
+            s = s if s in self.known else named or ""
+            if base and s in self.trees:
+                parts[s][base].append((k, addition))
+        for s, wanted in parts.items():
+            tree, forms, bases = self.trees[s], self.by_form[s], list(wanted)
+            for at in range(0, len(bases), 2000):
+                some = bases[at : at + 2000]
+                radii = np.array([int(len(b) * loose) if len(b) >= 4 else 0 for b in some])
+                found: dict[int, list[tuple[Entry, float]]] = defaultdict(list)
+                for i, node, d in zip(*(a.tolist() for a in tree.within_many(some, radii))):
+                    form = tree.words[node]
+                    found[i] += [(e, d + (0 if form == e.base else 0.25)) for e in forms[form]]
+                for i, hits in found.items():
+                    least: dict[int, tuple[float, Entry]] = {}
+                    for e, d in hits:
+                        if e.id not in least or d < least[e.id][0]:
+                            least[e.id] = (d, e)
+                    for k, addition in wanted[some[i]]:
+                        out[k] = sorted(((e.id, d, e.addition == addition, e.x, e.y, len(some[i])) for d, e in least.values()), key=lambda c: (c[1], c[0]))
+        return out
+
+
+def scope_of(scope: str | None) -> str:
+    return fold(scope or "").strip()
 
 
 _CANDIDATES = "array<struct<id:bigint,edits:double,same:boolean,x:double,y:double,letters:int>>"
 _CAND_TYPE = pa.list_(pa.struct([("id", pa.int64()), ("edits", pa.float64()), ("same", pa.bool_()), ("x", pa.float64()), ("y", pa.float64()), ("letters", pa.int32())]))
 
 
-def candidates(values: DataFrame, scope: str, value: str, entries: list[tuple], spelling: Spelling, shard_entries: int = 4000) -> DataFrame:
-    """``(scope, value, candidates)`` for every distinct pair: the entries within the radius of the value."""
-    spark = values.sparkSession
+def candidates(values: DataFrame, scope: str, value: str, entries: DataFrame, spelling: Spelling, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """``(scope, value, candidates)`` for every distinct pair: all entries within the radius of the value.
+
+    ``entries`` (``id``, ``scope``, ``name``, ``x``, ``y``) come to the driver
+    one shard at a time, ordered by scope; the list of the scopes is whole.
+    """
+    context, conf = values.sparkSession.sparkContext, values.sparkSession.conf
     distinct = values.select(F.col(scope).cast("string").alias("scope"), F.col(value).cast("string").alias("value")).distinct()
     # a search costs far more than the few bytes it reads: small partitions, by number so that they aren't put together
-    slices = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slices = max(context.defaultParallelism * 2, int(conf.get("spark.sql.shuffle.partitions")))
     distinct = distinct.repartition(slices, "value")
-    parts = None
-    for k in range(0, max(1, len(entries)), shard_entries):
-        shared = spark.sparkContext.broadcast(Reference(entries[k : k + shard_entries], spelling))
+    scopes = sorted({scope_of(r[0]) for r in entries.select("scope").distinct().toLocalIterator() if r[0]}, key=lambda s: (-len(s), s))
+    if entries.limit(shard_entries + 1).count() > shard_entries:  # read once for each shard
+        distinct = cut(distinct)
+    parts, held = None, []
+
+    def search(held: list[tuple]) -> DataFrame:
+        shared = context.broadcast(Reference(held, spelling, scopes))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ref = shared.value
             for b in batches:
-                out = []
-                for s, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    n = len(split_value(v, spelling, ref.scopes)[0])
-                    out.append([{"id": i, "edits": float(d), "same": same, "x": x, "y": y, "letters": n} for i, d, same, x, y in ref.search(s, v)])
+                found = ref.search(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+                out = [[{"id": i, "edits": float(d), "same": same, "x": x, "y": y, "letters": n} for i, d, same, x, y, n in c] for c in found]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _CAND_TYPE)], ["scope", "value", "candidates"])
 
-        part = distinct.mapInArrow(run, f"scope string, value string, candidates {_CANDIDATES}")
-        parts = part if parts is None else parts.unionByName(part)
-    if len(entries) > shard_entries:
-        parts = parts.groupBy("scope", "value").agg(F.flatten(F.collect_list("candidates")).alias("candidates"))
-    return parts
+        return distinct.mapInArrow(run, f"scope string, value string, candidates {_CANDIDATES}")
+
+    shards = 0
+    for r in entries.select("id", "scope", "name", "x", "y").orderBy(F.lower(F.trim("scope")), "id").toLocalIterator():
+        if len(held) >= shard_entries:
+            part = search(held)
+            parts, held, shards = part if parts is None else parts.unionByName(part), [], shards + 1
+        held.append(tuple(r))
+    part = search(held)
+    parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("scope", "value").agg(F.flatten(F.collect_list("candidates")).alias("candidates")) if shards else parts
 
 
-def map_values(rows: DataFrame, key: str, scope: str, value: str, x: str, y: str, entries: DataFrame, entry_id: str, entry_scope: str, entry_value: str, entry_x: str, entry_y: str, spelling: Spelling, strict: float = 0.28, strict_far: float = 0.15, near_m: float = 250.0) -> DataFrame:
+def map_values(rows: DataFrame, key: str, scope: str, value: str, x: str, y: str, entries: DataFrame, entry_id: str, entry_scope: str, entry_value: str, entry_x: str, entry_y: str, spelling: Spelling, strict: float = 0.28, strict_far: float = 0.15, near_m: float = 250.0, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """``(key, entry_id)`` of every row whose value is neither NULL nor blank: the entry that is meant, or -1.
 
-    Of the candidates, one whose place is within ``near_m`` of the row's wins;
-    without such a one the edits may be at most ``strict`` of the letters
-    (``strict_far`` where the row has a place), entries with the same addition
-    go first, and entries of equal rank are undecided (-1).  Repeated rows give
-    one result; a NULL or unknown scope searches all scopes.
+    Of the candidates those that are equal to the value, else those within one
+    edit, else all, are looked at: the first of these classes that has an entry
+    with the same addition.  Of them one whose place is within ``near_m`` of
+    the row's wins; without such a one the edits may be at most ``strict`` of
+    the letters (``strict_far`` where the row has a place), entries with the
+    same addition go first, and entries of equal rank are undecided (-1).
+    Repeated rows give one result; a NULL or unknown scope searches all scopes.
     """
-    listed = [tuple(r) for r in entries.where(F.col(entry_id).isNotNull() & F.col(entry_value).isNotNull()).select(F.col(entry_id).cast("bigint"), entry_scope, entry_value, F.col(entry_x).cast("double"), F.col(entry_y).cast("double")).orderBy(entry_id).collect()]
+    listed = entries.where(F.col(entry_id).isNotNull() & F.col(entry_value).isNotNull()).select(F.col(entry_id).cast("bigint").alias("id"), F.col(entry_scope).cast("string").alias("scope"), F.col(entry_value).cast("string").alias("name"), F.col(entry_x).cast("double").alias("x"), F.col(entry_y).cast("double").alias("y"))
     typed = rows.where(F.col(value).isNotNull() & (F.trim(F.regexp_replace(value, r"\s+", " ")) != "")).select(F.col(key).alias("k"), F.col(scope).cast("string").alias("scope"), F.col(value).cast("string").alias("value"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
-    found = candidates(typed, "scope", "value", listed, spelling)
+    found = candidates(typed, "scope", "value", listed, spelling, shard_entries)
+    within = lambda most: F.exists("candidates", lambda c: c["same"] & (c["edits"] < most + 1))
+    most = F.when(within(0), 0).when(within(1), 1).otherwise(1_000_000)
+    found = found.withColumn("candidates", F.filter("candidates", lambda c: c["edits"] < most + 1))
     joined = typed.join(found.withColumnsRenamed({"scope": "s2", "value": "v2"}), F.col("scope").eqNullSafe(F.col("s2")) & (F.col("value") == F.col("v2")))
     placed = F.col("px").isNotNull() & F.col("py").isNotNull() & ~F.isnan("px") & ~F.isnan("py")
     ranked = F.transform(

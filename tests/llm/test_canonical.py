@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strideflow.llm.canonical import BKTree, Spelling, distances, encode, fold, map_values, split_value
+from strideflow.llm.canonical import BKTree, Spelling, distances, encode, fold, map_values, pair_distances, split_value
 from strideflow.llm.queries import COUNTERS
 from tests.conftest import rows
 
@@ -47,10 +47,10 @@ def test_split_value():
 LINES = [(1, "Kylä", "Pitkäniementie", 0.0, 0.0), (2, "Kylä", "Lyhytrannankatu etelä", 1000.0, 0.0), (3, "Kylä", "Lyhytrannankatu pohjoinen", 1100.0, 0.0), (4, "Salo", "Pitkäniementie", 5000.0, 0.0), (5, None, None, None, None)]
 
 
-def _mapped(spark, obs, lines=LINES):
+def _mapped(spark, obs, lines=LINES, **kw):
     o = spark.createDataFrame(obs, "o long, city string, name string, x double, y double").withColumn("candidates", F.lit("clash"))
     e = spark.createDataFrame(lines, "id long, c string, n string, lx double, ly double")
-    return dict(rows(map_values(o, "o", "city", "name", "x", "y", e, "id", "c", "n", "lx", "ly", COUNTERS)))
+    return dict(rows(map_values(o, "o", "city", "name", "x", "y", e, "id", "c", "n", "lx", "ly", COUNTERS, **kw)))
 
 
 def test_mapping(spark):
@@ -67,3 +67,25 @@ def test_mapping(spark):
 
 def test_spelling_without_rules(spark):
     assert split_value("A b-c", Spelling()) == ("abc", "", None)
+
+
+def test_shards_give_what_one_tree_gives(spark):
+    lines = [(1, "Helsinki", "Kauppatori", 0.0, 0.0), (2, "Turku", "Kauppatori", 9000.0, 0.0), (3, "Espoo", "Kauppatorin", 500.0, 0.0), (4, "Turku", "Aho", 1.0, 1.0), (5, "Helsinki", "Rantatie", 0.0, 9.0), (6, "Vantaa", "Rantatei", 0.0, 9.0)]
+    obs = [(1, "Helsinki", "Kauppatori", None, None), (2, "Turku", "kauppatori", None, None), (3, "Espoo", "Kauppatori", None, None), (4, "Turku", "AHO", None, None), (5, None, "Aho", None, None), (6, None, "Kauppatori", None, None), (7, "Lahti", "Rantatie", None, None)]
+    want = {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: -1, 7: 5}
+    assert _mapped(spark, obs, lines) == want
+    for n in (1, 2, 3):
+        assert _mapped(spark, obs, lines, shard_entries=n) == want
+
+
+def test_the_metric_tells_all_letters_apart():
+    a = "\u0430bc"  # another script's letter, 255 places and more away from others
+    for x, y in ((a, "abc"), (a, "4bc"), (chr(300) + "x", chr(45) + "x"), (chr(555), chr(300)), ("", "abc"), ("x" * 80, "y" * 70)):
+        assert distances(x, *encode([y]))[0] == _lev(x, y)
+    r = random.Random(3)
+    w = ["".join(r.choice("abcд字") for _ in range(r.randrange(0, 70))) for _ in range(60)]
+    codes, lengths = encode(w)
+    q, k = [r.randrange(60) for _ in range(400)], [r.randrange(60) for _ in range(400)]
+    import numpy as np
+
+    assert pair_distances(codes, lengths, np.array(q), codes, lengths, np.array(k)).tolist() == [_lev(w[i], w[j]) for i, j in zip(q, k)]
