@@ -14,9 +14,11 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot_
 
     Keys with over ``hot_rows`` rows are looked up by broadcast (there are at
     most as many as rows / ``hot_rows``), the others by shuffle, so that no
-    task gets all rows of a key.  ``rows`` should be a stored table: it is read
-    once more for the counts.
+    task gets all rows of a key.  ``rows`` should be a stored table: it is
+    counted first, and by key where it has more than ``hot_rows`` rows.
     """
+    if rows.count() <= hot_rows:
+        return rows.join(table, key, how)
     hot = [r[0] for r in rows.groupBy(key).count().where(F.col("count") > hot_rows).select(key).collect()]
     if not hot:
         return rows.join(table, key, how)

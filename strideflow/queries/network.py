@@ -455,7 +455,10 @@ own AS (SELECT zone, sum(weight * weight) AS self FROM zp GROUP BY 1), zs AS (SE
 FROM dist JOIN zp a ON a.node_id = src JOIN zp b ON b.node_id = dist.node JOIN own o ON o.zone = a.zone WHERE src <> dist.node GROUP BY 1, 2)"""
 
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[1:3].isdigit()}
+_COMP = f"{net_sql(sp.BIKE)}, two AS (SELECT u AS a, v AS b FROM net UNION SELECT v, u FROM net), reach(a, b) AS (SELECT a, a FROM two UNION SELECT r.a, e.b FROM reach r JOIN two e ON e.a = r.b), comp AS (SELECT a AS node_id, min(b) AS component FROM reach GROUP BY 1)"
 SQL = {
+    "d08_components": f"WITH RECURSIVE {_COMP} SELECT component, count(*) AS nodes FROM comp GROUP BY 1",
+    "d09_largest_component": f"WITH RECURSIVE {_COMP}, largest AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT node_id FROM comp WHERE component = (SELECT component FROM largest)",
     "i03_point_matrix": f"WITH RECURSIVE {_DIST} SELECT d.src AS origin, d.node AS destination, round(d.d, 4) AS seconds, round(w.len, 3) AS metres FROM dist d JOIN ways w ON w.src = d.src AND w.dest = d.node",
     "i04_relational_matrix": f"WITH RECURSIVE {_DIST} SELECT src AS origin, node AS destination, round(d, 4) AS seconds FROM dist",
     "i19_least_cost": f"WITH RECURSIVE {_DIST} SELECT node AS destination, round(min(d), 4) AS seconds FROM dist WHERE src % 50 = 0 GROUP BY 1",
