@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.plans.lineage import cut, drop_cut
+from strideflow.plans.skew import HOT_ROWS, lookup
 
 #: Edges that one task unites at a time (16 bytes each).
 CELL_EDGES = 1_000_000
-#: Blocks of the first round at least, so that its cells keep several tasks busy; what they leave is far smaller.
-FIRST_BLOCKS = 3
+#: Blocks of the grid's side at least: every round exchanges along rows and columns.
+LEAST_BLOCKS = 2
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +57,9 @@ def _unite(table: pa.Table) -> pa.Table:
     return pa.table({"vertex": pa.array(v, pa.int64()), "root": pa.array(r, pa.int64())})
 
 
-def _round(edges: DataFrame, n: int, cell_edges: int, least: int) -> DataFrame:
+def _round(edges: DataFrame, n: int, cell_edges: int) -> DataFrame:
     """(vertex, root) of every slice of every cell of the grid, whose side follows from the number of edges."""
-    blocks = max(least, math.ceil(math.sqrt(2 * n / cell_edges)) if n > cell_edges else 1)
+    blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(2 * n / cell_edges)))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     placed = edges.withColumn("bi", F.least(block("u"), block("v"))).withColumn("bj", F.greatest(block("u"), block("v")))
     # a cell's own count decides into how many slices it is cut; at most blocks² rows
@@ -67,7 +68,7 @@ def _round(edges: DataFrame, n: int, cell_edges: int, least: int) -> DataFrame:
     return placed.groupBy("bi", "bj", "slice").applyInArrow(_unite, "vertex bigint, root bigint")
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", cell_edges: int = CELL_EDGES) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v", cell_edges: int = CELL_EDGES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(vertex BIGINT, root BIGINT)``: for every vertex of ``edges`` the smallest vertex it hangs together with.
 
     Rows with a NULL end are left out; a loop makes its vertex known; repeated
@@ -76,7 +77,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", cell_edges: int = C
     pairs = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.least(F.col(u), F.col(v)).cast("bigint").alias("u"), F.greatest(F.col(u), F.col(v)).cast("bigint").alias("v")).distinct()
     current, levels = cut(pairs), []
     while (n := current.count()) > 0:
-        local = cut(_round(current, n, cell_edges, 1 if levels else FIRST_BLOCKS))
+        local = cut(_round(current, n, cell_edges))
         parents = cut(local.groupBy("vertex").agg(F.min("root").alias("parent")))
         rest = cut(
             local.join(parents, "vertex").where("root <> parent")
@@ -91,11 +92,11 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", cell_edges: int = C
     label = levels[-1].select("vertex", F.col("parent").alias("root"))
     for parents in reversed(levels[:-1]):
         up = label.select(F.col("vertex").alias("parent"), F.col("root").alias("higher"))
-        label = parents.join(up, "parent", "left").select("vertex", F.coalesce("higher", "parent").alias("root"))
+        label = lookup(parents, up, "parent", "left", hot_rows).select("vertex", F.coalesce("higher", "parent").alias("root"))
     return label
 
 
-def link_groups(links: DataFrame, key: str = "link_id", u: str = "u", v: str = "v", cell_edges: int = CELL_EDGES) -> DataFrame:
+def link_groups(links: DataFrame, key: str = "link_id", u: str = "u", v: str = "v", cell_edges: int = CELL_EDGES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(key, group_id)``: every key once, with the smallest key of all rows that hang together through equal ends.
 
     NULL and 0 are unknown ends and join nothing; a key without a known end is
@@ -107,9 +108,10 @@ def link_groups(links: DataFrame, key: str = "link_id", u: str = "u", v: str = "
     anchored = cut(rows.groupBy("k").agg(F.min(F.least("a", "b")).alias("anchor")))
     known = anchored.where("anchor is not null")
     ends = rows.select("k", F.explode(F.array("a", "b")).alias("end")).where("end is not null")
-    roots = cut(components(ends.join(known, "k").select(F.col("anchor").alias("u"), F.col("end").alias("v")), cell_edges=cell_edges))
-    of = known.join(roots, known.anchor == roots.vertex).select("k", "root")
-    smallest = of.groupBy("root").agg(F.min("k").alias("group_id"))
-    joined = of.join(smallest, "root").select("k", "group_id")
+    roots = cut(components(ends.join(known, "k").select(F.col("anchor").alias("u"), F.col("end").alias("v")), cell_edges=cell_edges, hot_rows=hot_rows))
+    # a hub is the anchor of many links and a large group the root of many: both are looked up without putting their links together
+    of = cut(lookup(known, roots.withColumnRenamed("vertex", "anchor"), "anchor", hot_rows=hot_rows).select("k", "root"))
+    smallest = cut(of.groupBy("root").agg(F.min("k").alias("group_id")))
+    joined = lookup(of, smallest, "root", hot_rows=hot_rows).select("k", "group_id")
     alone = anchored.where("anchor is null").select("k", F.col("k").alias("group_id"))
     return joined.unionByName(alone).withColumnRenamed("k", key)

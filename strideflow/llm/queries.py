@@ -167,6 +167,7 @@ _MARK = "CASE WHEN count(DISTINCT link_row) <= 3 THEN 'rare' WHEN count(DISTINCT
 
 QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sequences": p7_sequences, "p7_all_sequences": p7_all_sequences, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_report": p9_report, "p10_pieces": p10_pieces}
 SQL = {
+    "p1_found": "WITH RECURSIVE ends AS (SELECT link_id, e FROM (SELECT link_id, unnest([u, v]) AS e FROM links WHERE link_id IS NOT NULL) WHERE e <> 0), pairs AS (SELECT DISTINCT a.e AS a, b.e AS b FROM ends a JOIN ends b USING (link_id)), reach(a, b) AS (SELECT e, e FROM ends UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b), root AS (SELECT a AS e, min(b) AS root FROM reach GROUP BY 1), grp AS (SELECT root, min(link_id) AS group_id FROM ends JOIN root USING (e) GROUP BY 1) SELECT DISTINCT l.link_id, coalesce(g.group_id, l.link_id) AS group_id FROM (SELECT DISTINCT link_id FROM links WHERE link_id IS NOT NULL) l LEFT JOIN (SELECT DISTINCT link_id, root FROM ends JOIN root USING (e)) r USING (link_id) LEFT JOIN grp g USING (root)",
     "p4_found": f"WITH {_TRIPS} SELECT origin, measure FROM vals GROUP BY ALL HAVING count(*) >= 40 AND quantile_cont(v, 0.95) > 6 * quantile_cont(v, 0.5)",
     "p4_percentiles": f"WITH {_TRIPS} SELECT origin, measure, CAST(q AS DOUBLE) AS q, n, round(value, 6) AS value FROM (SELECT origin, measure, n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(a) AS value FROM (SELECT origin, measure, count(*) AS n, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS a FROM vals GROUP BY ALL))",
     "p7_found": f"WITH {_VALUES}, {_GRAMS}, marks AS (SELECT tag_field, term, {_MARK} AS mark FROM grams JOIN sizes USING (tag_field) WHERE n = 1 GROUP BY ALL) SELECT tag_field, term, mark FROM marks WHERE mark <> ''",

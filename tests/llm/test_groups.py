@@ -36,7 +36,7 @@ def test_components_with_long_chain_and_hub(spark, cell_edges):
     r.shuffle(perm)
     e = [(perm[i], perm[i + 1]) for i in range(399)] + [(7, x) for x in perm[400:550]] + [(7, 7), (8, 8)] + [(perm[560], perm[561])] * 5
     df = spark.createDataFrame([*e, (None, 3), (3, None)], "u long, v long")
-    assert dict(rows(components(df, cell_edges=cell_edges))) == _roots(e)
+    assert dict(rows(components(df, cell_edges=cell_edges))) == dict(rows(components(df, cell_edges=cell_edges, hot_rows=20))) == _roots(e)
     assert components(df.limit(0)).count() == 0
 
 
@@ -51,5 +51,6 @@ def test_link_groups(spark):
 
 def test_a_third_of_all_rows_at_one_node(spark):
     t = spark.range(3000).select(F.col("id").alias("link_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).alias("u"), (F.col("id") + 100_000).alias("v"))
-    got = dict(rows(link_groups(t, cell_edges=100)))
-    assert got == {i: (0 if i % 3 == 0 else i) for i in range(3000)}
+    for hot in (1_000_000, 50):
+        got = dict(rows(link_groups(t, cell_edges=100, hot_rows=hot)))
+        assert got == {i: (0 if i % 3 == 0 else i) for i in range(3000)}
