@@ -36,8 +36,8 @@ COMMON = 2
 LEFT = 0.35
 #: Half the width of a diagonal band in letters: what markup may add within a stretch.
 HALF_BAND = 512
-#: Items' characters that one broadcast holds.
-ITEM_CHARS = 20_000_000
+#: Items' characters that one broadcast index holds (some 30 bytes each).
+ITEM_CHARS = 5_000_000
 _BITS = 22
 _P = 0x9E3779B1
 _TABLE: np.ndarray | None = None
@@ -108,14 +108,19 @@ _INNER = re.compile(r"\{\{([^{}|]*)((?:\|[^{}]*)?)\}\}")
 _NAMED = re.compile(r"^\s*[\w \-]{1,40}=")
 
 
+#: Words from which a template's named value is taken for text, as in a quotation.
+TEXT_WORDS = 4
+
+
 def _arguments(m: re.Match) -> str:
-    """A template's values: of one on a single line the unnamed ones, of a longer one all, names left aside."""
+    """A template's values: of one on a single line the unnamed ones and those that are text, of a longer one all, names left aside."""
     if not m[2]:
         return " "
     parts = m[2][1:].split("|")
     if "\n" in m[0]:
         return "\n" + "\n".join(_NAMED.sub("", p) for p in parts) + "\n"
-    return " " + " ".join(p for p in parts if not _NAMED.match(p)) + " "
+    plain = (_NAMED.sub("", p) for p in parts if not _NAMED.match(p) or len(p.split()) >= TEXT_WORDS)
+    return " " + " ".join(plain) + " "
 
 
 def strip_markup(text: str) -> str:
@@ -190,17 +195,16 @@ class ItemIndex:
         self.words = [words_of(t or "") for _, t in items]
         streams = [letters(" ".join(w)) for w in self.words]
         grams = [gram_hashes(s) for s in streams]
-        seen: dict[int, set] = defaultdict(set)
-        for k, g in enumerate(grams):
-            for h in g.tolist():
-                seen[h].add(k)
+        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(g.astype(np.uint64) << np.uint64(32) | np.uint64(k) for k, g in enumerate(grams))]))
+        held, start = np.unique((pairs >> np.uint64(32)).astype(np.uint32), return_index=True)
+        in_items = np.diff(np.append(start, len(pairs)))  # by hash, the items that have it
         hashes, items_, at = [], [], []
         self.need, self.least = [], []
         for k, g in enumerate(grams):
             n = len(self.words[k])
             self.least.append(max(1, int(np.ceil(share * n - 1e-9))))
             window = max(1, int(share * len(g)))
-            rare = np.array([len(seen[h]) <= COMMON for h in g.tolist()], bool)
+            rare = in_items[np.searchsorted(held, g)] <= COMMON if len(g) else np.zeros(0, bool)
             for keep in (rare, np.ones(len(g), bool)):
                 c = np.concatenate([[0], np.cumsum(keep)])
                 fewest = int((c[window:] - c[:-window]).min()) if len(g) else 0
@@ -214,8 +218,10 @@ class ItemIndex:
         self.hash = h[order]
         self.item = np.concatenate(items_)[order] if items_ else np.zeros(0, int)
         self.at = np.concatenate(at)[order] if at else np.zeros(0, int)
-        self.bits = np.zeros(1 << _BITS, bool)
-        self.bits[self.hash >> np.uint32(32 - _BITS)] = True
+        # one in at least 16 places of the table is taken, however many items there are
+        self.shift = np.uint32(32 - min(31, max(_BITS, int(len(h) * 16).bit_length())))
+        self.bits = np.zeros(1 << int(32 - self.shift), bool)
+        self.bits[self.hash >> self.shift] = True
         self.need = np.array(self.need, int)
         self.short = [k for k, s in enumerate(streams) if 0 < len(s) < 3 * Q]
 
@@ -227,7 +233,7 @@ class ItemIndex:
         used = np.flatnonzero(code)
         s = code[used]
         h = gram_hashes(s)
-        hit = np.flatnonzero(self.bits[h >> np.uint32(32 - _BITS)])
+        hit = np.flatnonzero(self.bits[h >> self.shift])
         hh = h[hit]
         lo, hi = np.searchsorted(self.hash, hh, "left"), np.searchsorted(self.hash, hh, "right")
         n = hi - lo
@@ -302,10 +308,10 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, doc_id: st
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
     out = None
     for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(ItemIndex(block, share))
 
         def run(batches, shared=shared):
-            return _scan(batches, ItemIndex(shared.value, share))
+            return _scan(batches, shared.value)
 
         part = docs.mapInArrow(run, "item_id bigint, doc_id bigint, words int, item_words int")
         out = part if out is None else out.unionByName(part)

@@ -24,6 +24,7 @@ def test_markup_goes():
     t = "The [[was|tarholm]] was<ref>Miller, p. 3</ref> ''very''&nbsp;{{nowrap|old}}<!-- no --> <i>and</i> {{cn|date=May}} [http://x.y big]"
     assert words_of(strip_markup(t)) == ["the", "tarholm", "was", "very", "old", "and", "big"]
     assert words_of(strip_markup("{{Infobox note\n| remark = of the ridge\n| by = me\n}}")) == ["of", "the", "ridge", "me"]
+    assert words_of(strip_markup("{{Quote|text=The old ridge fell, it is said|source=[[Me]]}} {{x|y=1}}")) == ["the", "old", "ridge", "fell", "it", "is", "said"]
     assert words_of("minо­r rail-\nway") == ["minor", "railway"]
 
 
