@@ -1,18 +1,19 @@
 """Searches on the directed network, and its components.
 
 The network is broadcast in compressed rows while it has at most ``MAX_EDGES``
-edges (counted); sources are spread over tasks, each search touches only what
-it reaches within its limit.  Larger networks, and checks, use the relational
-twin, which relaxes a frontier by joins.
+edges (counted); sources are spread over tasks.  A task searches from a block
+of sources at a time: frontiers of all of them are relaxed together by array
+operations, nearest first (delta stepping), and each touches only what it
+reaches within the limit.  Larger networks take the relational twins, which
+relax frontiers by joins: the functions choose by themselves.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,47 @@ from strideflow.plans.lineage import cut, drop_cut
 
 #: Edges up to which the network is broadcast (some 36 bytes each).
 MAX_EDGES = 20_000_000
+#: Places of (source, node) that one block of sources has (16 bytes each).
+BLOCK = 4_000_000
+
+
+class Tree:
+    """What a block of sources reaches: by source and then by seconds."""
+
+    def __init__(self, key: np.ndarray, nodes: int, seconds: np.ndarray, edge: np.ndarray, parent: np.ndarray, place: np.ndarray):
+        self.key, self.nodes, self.seconds, self.edge, self.parent = key, nodes, seconds, edge, parent
+        self.source, self.node = np.divmod(key, max(nodes, 1))
+        self._place = place  # by key; what isn't reached has any place
+
+    def along(self, values: np.ndarray) -> np.ndarray:
+        """The sum of the edges' values on the way to each place, by pointer jumping."""
+        if not len(values) or not len(self.key):
+            return np.zeros(len(self.key), values.dtype)
+        total, up = np.where(self.edge >= 0, values[self.edge], 0), self.parent
+        while True:
+            higher = up[up]
+            if (higher == up).all():
+                return total
+            total, up = total + total[up], higher
+
+    def pushed(self, load: np.ndarray) -> np.ndarray:
+        """Loads of the places, each added to all places on its way back: the farthest first."""
+        depth = self.along(np.ones(1 + int(self.edge.max()) if len(self.edge) else 1, np.int64))
+        order = np.argsort(-depth, kind="stable")
+        load, at = load.copy(), 0
+        for end in np.searchsorted(-depth[order], -np.arange(int(depth.max()) if len(depth) else 0, 0, -1), "right").tolist():
+            k = order[at:end]
+            np.add.at(load, self.parent[k], load[k])
+            at = end
+        return load
+
+    def find(self, source: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Places of (source, node), -1 where it isn't reached. Only before the next search."""
+        if not len(self.key):
+            return np.full(len(source), -1)
+        key = source.astype(np.int64) * self.nodes + np.maximum(node, 0)
+        at = np.minimum(self._place[key], len(self.key) - 1)
+        return np.where((node >= 0) & (self.key[at] == key), at, -1)
 
 
 class Graph:
@@ -33,43 +75,81 @@ class Graph:
         self.tail, self.head = a[order], b[order]
         self.seconds, self.metres, self.link, self.direction = seconds[order], metres[order], link[order], direction[order]
         self.first = np.searchsorted(self.tail, np.arange(len(self.ids) + 1))
-        self._lists = None
-
-    def index(self, node: int) -> int:
-        i = int(np.searchsorted(self.ids, node))
-        return i if i < len(self.ids) and self.ids[i] == node else -1
-
-    def search(self, roots: dict[int, float], limit: float = np.inf) -> tuple[list[int], dict[int, float], dict[int, int]]:
-        """Least seconds from the roots: nodes in the order settled, their seconds, the edge by which each is reached.
-
-        The limit is inclusive; only a strictly better way replaces another.
+        self.step = float(np.mean(self.seconds)) * 2 if len(u) else 1.0
+        self._room = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_room": None}
+
+    def indexes(self, nodes: np.ndarray) -> np.ndarray:
+        """Positions of node ids, -1 where the network lacks them."""
+        if not len(self.ids):
+            return np.full(len(nodes), -1)
+        i = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
+        return np.where(self.ids[i] == nodes, i, -1)
+
+    def blocks(self, n: int) -> Iterator[tuple[int, int]]:
+        """Ranges of sources that are searched together."""
+        size = int(max(1, min(BLOCK // max(1, len(self.ids)), 4096)))
+        for k in range(0, n, size):
+            yield k, min(n, k + size)
+
+    def search(self, roots: np.ndarray, limit: float = np.inf, starts: np.ndarray | None = None) -> Tree:
+        """Least seconds from every root by itself, in one block; with ``starts`` the sources' numbers, several roots may be one source.
+
+        The limit is inclusive.  Of equally quick ways the one over the first
+        edge in the order of ends and link ids counts.
         """
-        if self._lists is None:
-            self._lists = (self.first.tolist(), self.head.tolist(), self.seconds.tolist())
-        first, head, seconds = self._lists
-        dist, edge, order, done = dict(roots), {}, [], set()
-        heap = [(d, n) for n, d in roots.items() if d <= limit]
-        heapq.heapify(heap)
-        while heap:
-            d, n = heapq.heappop(heap)
-            if n in done:
+        n = len(self.ids)
+        starts = np.arange(len(roots)) if starts is None else starts
+        need = (int(starts.max()) + 1) * n if len(starts) else 0
+        if self._room is None or len(self._room[0]) < need:
+            self._room = np.full(need, np.inf), np.full(need, -1, np.int32), np.zeros(need, np.int64)
+        dist, edge, place = self._room
+        pending = np.unique(starts.astype(np.int64) * n + roots)
+        dist[pending], edge[pending] = 0.0, -1
+        touched = [pending]
+        while len(pending):
+            near = dist[pending]
+            now = near <= near.min() + self.step
+            keys, pending = pending[now], pending[~now]
+            node = keys % n
+            count = self.first[node + 1] - self.first[node]
+            e = np.repeat(self.first[node] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            came = np.repeat(keys, count)
+            reach = dist[came] + self.seconds[e]
+            to = came - np.repeat(node, count) + self.head[e]
+            better = np.flatnonzero((reach < dist[to]) & (reach <= limit))
+            if not len(better):
                 continue
-            done.add(n)
-            order.append(n)
-            for e in range(first[n], first[n + 1]):
-                m, nd = head[e], d + seconds[e]
-                if nd <= limit and nd < dist.get(m, np.inf):
-                    dist[m], edge[m] = nd, e
-                    heapq.heappush(heap, (nd, m))
-        return order, dist, edge
-
-
-def collect_graph(edges: DataFrame, most: int = MAX_EDGES) -> Graph:
-    """The network on the driver, refused beyond ``most`` edges."""
-    e = edges.select("u", "v", "travel_time_s", "length_m", "link_id", F.col("direction").cast("int").alias("direction")).limit(most + 1).toPandas()
-    if len(e) > most:
-        raise ValueError(f"over {most} edges: use the relational search")
-    return Graph(*(e[c].to_numpy() for c in ("u", "v", "travel_time_s", "length_m", "link_id", "direction")))
+            to, reach, e = to[better], reach[better], e[better]
+            order = np.lexsort((e, reach, to))
+            to, reach, e = to[order], reach[order], e[order]
+            fresh = np.concatenate([[True], to[1:] != to[:-1]])
+            to = to[fresh]
+            touched.append(to[np.isinf(dist[to])])
+            dist[to], edge[to] = reach[fresh], e[fresh]
+            pending = np.union1d(pending, to) if len(pending) else to
+        at = np.concatenate(touched)
+        at = at[np.lexsort((at, dist[at], at // max(n, 1)))]
+        place[at] = np.arange(len(at))
+        by, seconds = edge[at].astype(np.int64), dist[at]
+        dist[at] = np.inf  # the room is as before for the next search
+        parent = np.arange(len(at))
+        on = np.flatnonzero(by >= 0)
+        parent[on] = place[at[on] // n * n + self.tail[by[on]]] if len(on) else 0
+        return Tree(at, n, seconds, by, parent, place)
+
+
+def collect_graph(edges: DataFrame) -> Graph:
+    """The network on the driver; callers have checked its size."""
+    e = edges.select("u", "v", "travel_time_s", "length_m", "link_id", F.col("direction").cast("int").alias("direction")).toArrow()
+    return Graph(*(e.column(c).to_numpy() for c in ("u", "v", "travel_time_s", "length_m", "link_id", "direction")))
+
+
+def fits(edges: DataFrame, most: int) -> bool:
+    """Whether the network may be broadcast."""
+    return edges.limit(most + 1).count() <= most
 
 
 def _spread(sources: DataFrame) -> DataFrame:
@@ -78,72 +158,150 @@ def _spread(sources: DataFrame) -> DataFrame:
     return sources.repartition(n, F.xxhash64(sources.columns[0]))
 
 
-def od_matrix(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+def _batch(columns: dict, kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) if c is not None else pa.nulls(len(columns["value"]), kinds[k]) for k, c in columns.items()], list(columns))
+
+
+def od_matrix(edges: DataFrame, sources: DataFrame, limit: float, most: int = MAX_EDGES) -> DataFrame:
     """``(origin, destination, seconds, metres)`` from every source (``node_id``) to all nodes within ``limit`` seconds; metres along the fastest way."""
+    if not fits(edges, most):
+        return relational_tree(edges, sources, limit).select("origin", "destination", "seconds", "metres")
     shared = edges.sparkSession.sparkContext.broadcast(collect_graph(edges))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
         for b in batches:
-            out: list[tuple] = []
-            for node in b["node_id"]:
-                i = g.index(node)
-                if i < 0:
-                    continue
-                order, dist, edge = g.search({i: 0.0}, limit)
-                metres = {i: 0.0}
-                for n in order[1:]:
-                    e = edge[n]
-                    metres[n] = metres[int(g.tail[e])] + float(g.metres[e])
-                out += [(node, int(g.ids[n]), dist[n], metres[n]) for n in order]
-            yield pd.DataFrame(out, columns=["origin", "destination", "seconds", "metres"])
+            nodes = b.column(0).to_numpy()
+            at = g.indexes(nodes)
+            nodes, at = nodes[at >= 0], at[at >= 0]
+            for i, j in g.blocks(len(at)):
+                t = g.search(at[i:j], limit)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i:j][t.source]), pa.array(g.ids[t.node]), pa.array(t.seconds), pa.array(t.along(g.metres))], ["origin", "destination", "seconds", "metres"])
 
-    return _spread(sources.select("node_id").distinct()).mapInPandas(run, "origin bigint, destination bigint, seconds double, metres double")
+    return _spread(sources.select("node_id").where("node_id is not null").distinct()).mapInArrow(run, "origin bigint, destination bigint, seconds double, metres double")
 
 
-def paths(edges: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
-    """``(origin, destination, left, link_id, direction, u, v)``: the edges of the fastest way of every pair, ``left`` counting those still to go."""
-    shared = edges.sparkSession.sparkContext.broadcast(collect_graph(edges))
-    per_origin = pairs.select("origin", "destination").distinct().groupBy("origin").agg(F.collect_set("destination").alias("to"))
+def least_cost(edges: DataFrame, sources: DataFrame, limit: float, most: int = MAX_EDGES) -> DataFrame:
+    """``(destination, seconds)`` from the nearest of all sources: one search from all of them at once."""
+    if not fits(edges, most):
+        return relational_tree(edges, sources, limit, together=True).select("destination", "seconds")
+    graph = collect_graph(edges)
+    shared = edges.sparkSession.sparkContext.broadcast(graph)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
-        for b in batches:
-            out: list[tuple] = []
-            for node, to in zip(b["origin"], b["to"]):
-                i = g.index(node)
-                _, dist, edge = g.search({i: 0.0}, limit) if i >= 0 else ([], {}, {})
-                for dest in to:
-                    n, left = g.index(dest), 0
-                    while n in edge and n != i:
-                        e = edge[n]
-                        out.append((node, dest, left, int(g.link[e]), int(g.direction[e]), int(g.ids[g.tail[e]]), int(g.ids[n])))
-                        n, left = int(g.tail[e]), left + 1
-            yield pd.DataFrame(out, columns=["origin", "destination", "left", "link_id", "direction", "u", "v"])
+        roots = [g.indexes(b.column(0).to_numpy()) for b in batches]
+        roots = np.concatenate(roots) if roots else np.zeros(0, np.int64)
+        roots = roots[roots >= 0]
+        t = g.search(roots, limit, np.zeros(len(roots), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(g.ids[t.node]), pa.array(t.seconds)], ["destination", "seconds"])
 
-    return _spread(per_origin).mapInPandas(run, "origin bigint, destination bigint, left int, link_id bigint, direction int, u bigint, v bigint")
+    # sources are nodes of the network, so one task holds no more than the network
+    return sources.select("node_id").where("node_id is not null").distinct().coalesce(1).mapInArrow(run, "destination bigint, seconds double")
 
 
-def relational_matrix(edges: DataFrame, sources: DataFrame, limit: float, rounds: int | None = None) -> DataFrame:
-    """The seconds of :func:`od_matrix` by frontier relaxation with joins: no broadcast of the network.
+_PATH = "origin bigint, destination bigint, left int, link_id bigint, direction int, u bigint, v bigint"
+
+
+def paths(edges: DataFrame, pairs: DataFrame, limit: float, most: int = MAX_EDGES) -> DataFrame:
+    """``(origin, destination, left, link_id, direction, u, v)``: the edges of the fastest way of every pair, ``left`` counting those still to go."""
+    wanted = pairs.select("origin", "destination").where("origin is not null and destination is not null").distinct()
+    if not fits(edges, most):
+        return relational_paths(edges, wanted, limit).select("origin", "destination", "left", "link_id", "direction", "u", "v")
+    shared = edges.sparkSession.sparkContext.broadcast(collect_graph(edges))
 
-    The rounds end when no row gets better.  That takes at most as many as the
-    network has nodes, unless a cycle's time is below zero; beyond ``rounds``, by
-    default that number, it raises.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        for origins, dest, _, first in _by_origin(batches):
+            roots = g.indexes(origins)
+            for i, j in g.blocks(len(roots)):
+                ok = np.flatnonzero(roots[i:j] >= 0)
+                if not len(ok):
+                    continue
+                t = g.search(roots[i:j][ok], limit)
+                d = dest[first[i] : first[j]]
+                owner = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
+                number = np.full(j - i, -1)
+                number[ok] = np.arange(len(ok))
+                use = number[owner] >= 0
+                d, owner = d[use], owner[use]
+                place = t.find(number[owner], g.indexes(d))
+                on = np.flatnonzero((place >= 0))
+                place, o, d, left = place[on], origins[i:j][owner[on]], d[on], 0
+                while len(place):  # all ways one edge at a time
+                    go = t.edge[place] >= 0
+                    place, o, d = place[go], o[go], d[go]
+                    e = t.edge[place]
+                    cols = [o, d, np.full(len(o), left, np.int32), g.link[e], g.direction[e], g.ids[g.tail[e]], g.ids[g.head[e]]]
+                    if len(o):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["origin", "destination", "left", "link_id", "direction", "u", "v"])
+                    place, left = t.parent[place], left + 1
+
+    return _sorted_by_origin(wanted).mapInArrow(run, _PATH)
+
+
+def _sorted_by_origin(pairs: DataFrame) -> DataFrame:
+    """Pairs with an origin's rows together in one task, whatever their number: they are read in blocks, never gathered in a list."""
+    return _spread(pairs).sortWithinPartitions("origin", "destination")
+
+
+#: Pairs that a task holds at a time.
+PAIRS = 500_000
+
+
+def _by_origin(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
+    """(origins, destinations, values, where each origin's begin) of sorted rows, some hundred thousand pairs at a time; an origin may come in several parts."""
+    held, n = [], 0
+
+    def made(held):
+        t = pa.Table.from_batches(held)
+        o, d = t.column(0).to_numpy(), t.column(1).to_numpy()
+        w = t.column(2).to_numpy() if t.num_columns > 2 else None
+        at = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        return o[at], d, w, np.append(at, len(o))
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= PAIRS:
+            yield made(held)
+            held, n = [], 0
+    if held:
+        yield made(held)
+
+
+_TREE = ["origin", "destination", "seconds", "metres", "u", "link_id", "direction"]
+
+
+def relational_tree(edges: DataFrame, sources: DataFrame, limit: float, rounds: int | None = None, together: bool = False) -> DataFrame:
+    """``(origin, destination, seconds, metres, u, link_id, direction)``: the search by frontier relaxation with joins, with the last edge of every way.
+
+    No broadcast of the network; sources that it lacks reach nothing.  With ``together`` all sources are one, with
+    NULL as origin.  The rounds end when no row gets better.  That takes at most
+    as many as the network has nodes, unless a cycle's time is below zero;
+    beyond ``rounds``, by default that number, it raises.
     """
-    best = cut(sources.select(F.col("node_id").alias("origin"), F.col("node_id").alias("destination"), F.lit(0.0).alias("seconds")).distinct())
+    origin = F.lit(0).cast("bigint") if together else F.col("node_id")
+    nothing = lambda t: F.lit(None).cast(t)
+    known = edges.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    best = cut(sources.where("node_id is not null").join(known, "node_id", "left_semi").select(origin.alias("origin"), F.col("node_id").alias("destination"), F.lit(0.0).alias("seconds"), F.lit(0.0).alias("metres"), nothing("bigint").alias("u"), nothing("bigint").alias("link_id"), nothing("int").alias("direction")).distinct())
     front = best
-    step = edges.select(F.col("u").alias("destination"), "v", "travel_time_s")
+    step = edges.select(F.col("u").alias("destination"), "v", "travel_time_s", "length_m", F.col("link_id").alias("l"), F.col("direction").cast("int").alias("d"))
     done = 0
     while True:
-        reached = front.join(step, "destination").select("origin", F.col("v").alias("destination"), (F.col("seconds") + F.col("travel_time_s")).alias("seconds")).where(F.col("seconds") <= limit)
-        new = reached.groupBy("origin", "destination").agg(F.min("seconds").alias("s2"))
-        both = cut(best.join(new, ["origin", "destination"], "full_outer").select("origin", "destination", F.least("seconds", "s2").alias("seconds"), (F.col("seconds").isNull() | (F.col("s2") < F.col("seconds"))).alias("better")))
-        moved = both.where("better")
+        reached = front.join(step, "destination").select(
+            "origin", F.col("v").alias("destination"),
+            F.struct((F.col("seconds") + F.col("travel_time_s")).alias("seconds"), F.col("destination").alias("u"), F.col("l").alias("link_id"), F.col("d").alias("direction"), (F.col("metres") + F.col("length_m")).alias("metres")).alias("way"),
+        ).where(F.col("way.seconds") <= limit)
+        new = reached.groupBy("origin", "destination").agg(F.min("way").alias("way"))
+        better = F.col("seconds").isNull() | (F.col("way.seconds") < F.col("seconds"))
+        take = lambda c: F.when(better, F.col(f"way.{c}")).otherwise(F.col(c)).alias(c)
+        both = cut(best.join(new, ["origin", "destination"], "full_outer").select("origin", "destination", *[take(c) for c in _TREE[2:]], F.coalesce(better, F.lit(False)).alias("better")))
         drop_cut(best)
-        best, front = both.drop("better"), moved.drop("better")
+        best, front = both.drop("better"), both.where("better").drop("better")
         best._cut_path = both._cut_path
-        if moved.isEmpty():
+        if both.where("better").isEmpty():
             return best
         done += 1
         if rounds is None and done == 200:  # counted only where the ways are long
@@ -152,7 +310,30 @@ def relational_matrix(edges: DataFrame, sources: DataFrame, limit: float, rounds
             raise RuntimeError(f"ways still get better after {done} rounds")
 
 
-def assign(edges: DataFrame, demand: DataFrame, limit: float, selected: list[int] | None = None) -> DataFrame:
+def relational_matrix(edges: DataFrame, sources: DataFrame, limit: float, rounds: int | None = None) -> DataFrame:
+    """The seconds of :func:`od_matrix` by joins alone."""
+    return relational_tree(edges, sources, limit, rounds).select("origin", "destination", "seconds")
+
+
+def relational_paths(edges: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
+    """:func:`paths` by joins alone, with ``seconds`` and ``metres`` of the whole way: all ways are walked back together, one edge a round."""
+    tree = cut(relational_tree(edges, pairs.select(F.col("origin").alias("node_id")).distinct(), limit))
+    at = cut(pairs.join(tree.select("origin", "destination", F.col("metres").alias("whole")), ["origin", "destination"]).select("origin", "destination", F.col("destination").alias("v"), "whole"))
+    left, out = 0, None
+    back = tree.where("link_id is not null").select("origin", F.col("destination").alias("v"), "u", "link_id", "direction")
+    while True:
+        step = cut(at.join(back, ["origin", "v"]).select("origin", "destination", F.lit(left).alias("left"), "link_id", "direction", "u", "v", "whole"))
+        out = step if out is None else out.unionByName(step)
+        if step.isEmpty():
+            return out
+        at, left = step.where("u <> origin").select("origin", "destination", F.col("u").alias("v"), "whole"), left + 1
+
+
+_ASSIGNED = "kind string, link_id bigint, direction int, origin bigint, destination bigint, value double"
+_KINDS = {"kind": pa.string(), "link_id": pa.int64(), "direction": pa.int32(), "origin": pa.int64(), "destination": pa.int64(), "value": pa.float64()}
+
+
+def assign(edges: DataFrame, demand: DataFrame, limit: float, selected: list[int] | None = None, most: int = MAX_EDGES) -> DataFrame:
     """All-or-nothing assignment: rows ``(kind, link_id, direction, origin, destination, value)``.
 
     ``demand`` (``origin``, ``destination``, ``demand``) by nodes; what isn't
@@ -162,49 +343,65 @@ def assign(edges: DataFrame, demand: DataFrame, limit: float, selected: list[int
     ``selected`` link ids only the pairs whose way uses one of them are loaded,
     and they come as ``via`` with their demand.
     """
-    shared = edges.sparkSession.sparkContext.broadcast(collect_graph(edges))
-    chosen = None if selected is None else set(selected)
-    per_origin = demand.where("demand > 0 and origin <> destination").groupBy("origin", "destination").agg(F.sum("demand").alias("demand")).groupBy("origin").agg(F.collect_list(F.struct("destination", "demand")).alias("to"))
+    wanted = demand.where("demand > 0 and origin <> destination").groupBy("origin", "destination").agg(F.sum("demand").alias("demand"))
+    if not fits(edges, most):
+        return _relational_assign(edges, wanted, limit, selected)
+    shared = edges.sparkSession.sparkContext.broadcast((collect_graph(edges), None if selected is None else np.array(sorted(set(selected)), np.int64)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, chosen = shared.value
         flow = np.zeros(len(g.head))
-        cols = ["kind", "link_id", "direction", "origin", "destination", "value"]
-        for b in batches:
-            out: list[tuple] = []
-            for node, to in zip(b["origin"], b["to"]):
-                want = {g.index(t["destination"]): (t["destination"], t["demand"]) for t in to if g.index(t["destination"]) >= 0}
-                out += [("missed", None, None, node, t["destination"], t["demand"]) for t in to if g.index(t["destination"]) < 0]
-                i = g.index(node)
-                order, _, edge = g.search({i: 0.0}, limit) if i >= 0 else ([], {}, {})
-                metres, via = {i: 0.0}, {i: False}
-                for n in order[1:]:
-                    e = edge[n]
-                    t = int(g.tail[e])
-                    metres[n] = metres[t] + float(g.metres[e])
-                    via[n] = via[t] or (chosen is not None and int(g.link[e]) in chosen)
-                load: dict[int, float] = {}
-                for k, (dest, x) in want.items():
-                    if k not in metres:
-                        out.append(("missed", None, None, node, dest, x))
-                        continue
-                    out.append(("length", None, None, node, dest, metres[k]))
-                    if chosen is None or via[k]:
-                        load[k] = x
-                        if chosen is not None:
-                            out.append(("via", None, None, node, dest, x))
-                for n in reversed(order):  # demand is pushed up the tree, the farthest first
-                    x = load.get(n, 0.0)
-                    if x and n in edge:
-                        e = edge[n]
-                        flow[e] += x
-                        t = int(g.tail[e])
-                        load[t] = load.get(t, 0.0) + x
-            yield pd.DataFrame(out, columns=cols).astype({"link_id": "Int64", "direction": "Int32"})
+        hit = None if chosen is None else np.isin(g.link, chosen).astype(np.int64)
+
+        def rows(kind: str, o, d, x) -> pa.RecordBatch:
+            return _batch({"kind": np.full(len(o), kind, object), "link_id": None, "direction": None, "origin": o, "destination": d, "value": x}, _KINDS)
+
+        for origins, dest, amount, first in _by_origin(batches):
+            roots = g.indexes(origins)
+            for i, j in g.blocks(len(roots)):
+                d, x = dest[first[i] : first[j]], amount[first[i] : first[j]]
+                owner = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
+                ok = np.flatnonzero(roots[i:j] >= 0)
+                number = np.full(j - i, -1)
+                number[ok] = np.arange(len(ok))
+                place = np.full(len(d), -1)
+                if len(ok):
+                    t = g.search(roots[i:j][ok], limit)
+                    use = np.flatnonzero(number[owner] >= 0)
+                    place[use] = t.find(number[owner[use]], g.indexes(d[use]))
+                o, lost = origins[i:j][owner], place < 0
+                if lost.any():
+                    yield rows("missed", o[lost], d[lost], x[lost])
+                if lost.all():
+                    continue
+                o, d, x, place = o[~lost], d[~lost], x[~lost], place[~lost]
+                yield rows("length", o, d, t.along(g.metres)[place])
+                if hit is not None:
+                    via = t.along(hit)[place] > 0
+                    o, d, x, place = o[via], d[via], x[via], place[via]
+                    yield rows("via", o, d, x)
+                load = t.pushed(np.bincount(place, x, len(t.node)))
+                on = t.edge >= 0
+                flow += np.bincount(t.edge[on], load[on], len(flow))
         used = np.flatnonzero(flow)
-        yield pd.DataFrame({"kind": "volume", "link_id": g.link[used], "direction": g.direction[used], "origin": g.ids[g.tail[used]], "destination": g.ids[g.head[used]], "value": flow[used]}).astype({"link_id": "Int64", "direction": "Int32"})
+        yield _batch({"kind": np.full(len(used), "volume", object), "link_id": g.link[used], "direction": g.direction[used], "origin": g.ids[g.tail[used]], "destination": g.ids[g.head[used]], "value": flow[used]}, _KINDS)
+
+    return _sorted_by_origin(wanted.select("origin", "destination", "demand")).mapInArrow(run, _ASSIGNED)
 
-    return _spread(per_origin).mapInPandas(run, "kind string, link_id bigint, direction int, origin bigint, destination bigint, value double")
+
+def _relational_assign(edges: DataFrame, wanted: DataFrame, limit: float, selected: list[int] | None) -> DataFrame:
+    """The rows of :func:`assign` by joins alone; volumes are whole sums."""
+    wanted = cut(wanted)
+    ways = cut(relational_paths(edges, wanted.select("origin", "destination"), limit))
+    served = ways.where("left = 0")
+    row = lambda df, kind, value: df.select(F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("link_id"), F.lit(None).cast("int").alias("direction"), "origin", "destination", F.col(value).alias("value"))
+    out = row(wanted.join(served, ["origin", "destination"], "left_anti"), "missed", "demand").unionByName(row(served, "length", "whole"))
+    if selected is not None:
+        chosen = edges.sparkSession.createDataFrame([(int(k),) for k in set(selected)], "link_id bigint")
+        via = cut(wanted.join(ways.join(F.broadcast(chosen), "link_id", "left_semi").select("origin", "destination").distinct(), ["origin", "destination"]))
+        out, wanted = out.unionByName(row(via, "via", "demand")), via
+    loaded = ways.join(wanted, ["origin", "destination"]).groupBy("link_id", "direction", "u", "v").agg(F.sum("demand").alias("value"))
+    return out.unionByName(loaded.select(F.lit("volume").alias("kind"), "link_id", "direction", F.col("u").alias("origin"), F.col("v").alias("destination"), "value"))
 
 
 def link_volumes(assigned: DataFrame) -> DataFrame:
@@ -212,49 +409,135 @@ def link_volumes(assigned: DataFrame) -> DataFrame:
     return assigned.where("kind = 'volume'").groupBy("link_id", "direction", F.col("origin").alias("u"), F.col("destination").alias("v")).agg(F.sum("value").alias("volume"))
 
 
-def zone_matrix(edges: DataFrame, points: DataFrame, limit: float, least_fraction: float = 0.0) -> DataFrame:
-    """``(origin, destination, seconds, fraction)`` between zones given by weighted access points (``zone``, ``node_id``, ``weight``, ``access_s``).
+def zone_sums(edges: DataFrame, points: DataFrame, limit: float, rate: float | None = None, most: int = MAX_EDGES) -> DataFrame:
+    """``(origin, destination, den, num, length, logs)`` over the pairs of access points that reach each other within ``limit``.
 
-    The mean over the pairs of points that reach each other, weighted by both
-    weights and with both access legs; pairs of one point with itself are left
-    out.  Sums over the target points are made inside the search, so that pairs
-    of points never leave a task.  ``least_fraction`` of the weight must be
-    reached.
+    ``points`` (``zone``, ``node_id``, ``weight``, ``access_s``, and where
+    wanted ``access_m``); ``den`` is the sum of the pairs' weights, ``num`` and
+    ``length`` that of the weighted seconds and metres with both access legs,
+    ``logs`` that of the weighted exp(-``rate`` · seconds), NULL without a rate.
+    A point's pair with itself is left out.  Pairs of points never leave a task.
     """
     spark = edges.sparkSession
-    listed = points.select("zone", "node_id", "weight", "access_s").toPandas()
-    graph = collect_graph(edges)
-    at: dict[int, list[tuple]] = {}
-    for z, node, w, a in listed.itertuples(index=False):
-        at.setdefault(graph.index(node), []).append((z, float(w), float(a)))
-    shared = spark.sparkContext.broadcast((graph, at))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, at = shared.value
+    access_m = F.col("access_m") if "access_m" in points.columns else F.lit(0.0)
+    listed = points.where("node_id is not null").select("zone", "node_id", F.col("weight").cast("double"), F.col("access_s").cast("double"), access_m.cast("double").alias("access_m"))
+    if not fits(edges, most) or not fits(listed, most):
+        return _relational_zone_sums(edges, listed, limit, rate)
+    graph, p = collect_graph(edges), listed.toArrow()
+    node = graph.indexes(p.column("node_id").to_numpy())
+    zones, zone = np.unique(p.column("zone").to_numpy(), return_inverse=True)
+    order = np.argsort(node, kind="stable")
+    order = order[node[order] >= 0]
+    begin = np.searchsorted(node[order], np.arange(len(graph.ids) + 1))
+    shared = spark.sparkContext.broadcast((graph, zones, zone[order], *(p.column(c).to_numpy()[order] for c in ("weight", "access_s", "access_m")), begin))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, zones, zone, weight, access, access_m, begin = shared.value
         for b in batches:
-            out: list[tuple] = []
-            for node in b["node_id"]:
-                i = g.index(node)
-                if i < 0:
-                    continue
-                order, dist, _ = g.search({i: 0.0}, limit)
-                for zone, w, access in at.get(i, ()):
-                    sums: dict = {}
-                    for n in order:
-                        for z2, w2, a2 in at.get(n, ()):
-                            if n == i and z2 == zone:
-                                continue
-                            s = sums.setdefault(z2, [0.0, 0.0])
-                            s[0] += w * w2 * (dist[n] + access + a2)
-                            s[1] += w * w2
-                    out += [(zone, z2, s[0], s[1]) for z2, s in sums.items()]
-            yield pd.DataFrame(out, columns=["origin", "destination", "num", "den"])
-
-    sums = _spread(points.select("node_id").distinct()).mapInPandas(run, "origin bigint, destination bigint, num double, den double").groupBy("origin", "destination").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+            roots = g.indexes(b.column(0).to_numpy())
+            roots = roots[roots >= 0]
+            for i, j in g.blocks(len(roots)):
+                t = g.search(roots[i:j], limit)
+                metres = t.along(g.metres)
+                # each reached place with the points that stand there, then with the points at its source
+                place, target = _expand(np.arange(len(t.node)), begin[t.node], begin[t.node + 1])
+                home = roots[i:j][t.source[place]]
+                k, own = _expand(np.arange(len(place)), begin[home], begin[home + 1])
+                place, target = place[k], target[k]
+                other = (t.node[place] != home[k]) | (zone[own] != zone[target])
+                place, target, own = place[other], target[other], own[other]
+                w = weight[own] * weight[target]
+                s = t.seconds[place] + access[own] + access[target]
+                m = metres[place] + access_m[own] + access_m[target]
+                key, inverse = np.unique(zone[own].astype(np.int64) * len(zones) + zone[target], return_inverse=True)
+                total = lambda x: np.bincount(inverse, x, len(key))
+                logs = total(w * np.exp(-rate * s)) if rate is not None else np.zeros(len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (zones[key // len(zones)], zones[key % len(zones)], total(w), total(w * s), total(w * m), logs)], ["origin", "destination", "den", "num", "length", "logs"])
+
+    parts = _spread(listed.select("node_id").distinct()).mapInArrow(run, "origin bigint, destination bigint, den double, num double, length double, logs double")
+    return parts.groupBy("origin", "destination").agg(*[F.sum(c).alias(c) for c in ("den", "num", "length", "logs")])
+
+
+def _expand(items: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, position) for every position of the items' ranges."""
+    n = hi - lo
+    return np.repeat(items, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _relational_zone_sums(edges: DataFrame, listed: DataFrame, limit: float, rate: float | None) -> DataFrame:
+    m = relational_tree(edges, listed.select("node_id").distinct(), limit)
+    end = lambda k, zone: listed.select(F.col("node_id").alias(k), F.col("zone").alias(zone), *[F.col(c).alias(f"{c}_{k[0]}") for c in ("weight", "access_s", "access_m")])
+    both = m.withColumnsRenamed({"origin": "a_node", "destination": "b_node"}).join(end("a_node", "origin"), "a_node").join(end("b_node", "destination"), "b_node").where("not (a_node = b_node and origin = destination)")
+    w, s = F.col("weight_a") * F.col("weight_b"), F.col("seconds") + F.col("access_s_a") + F.col("access_s_b")
+    return both.groupBy("origin", "destination").agg(
+        F.sum(w).alias("den"), F.sum(w * s).alias("num"), F.sum(w * (F.col("metres") + F.col("access_m_a") + F.col("access_m_b"))).alias("length"),
+        (F.sum(w * F.exp(-rate * s)) if rate is not None else F.lit(0.0)).alias("logs"),
+    )
+
+
+def zone_matrix(edges: DataFrame, points: DataFrame, limit: float, least_fraction: float = 0.0, rate: float | None = None, metres: bool = False, most: int = MAX_EDGES) -> DataFrame:
+    """``(origin, destination, seconds, fraction)``, on request also ``metres``, between zones given by weighted access points (``zone``, ``node_id``, ``weight``, ``access_s``).
+
+    The mean over the pairs of points that reach each other, weighted by both
+    weights and with both access legs; pairs of one point with itself are left
+    out.  With ``rate`` the seconds are the logsum -log(mean exp(-rate · s)) /
+    rate instead.  ``least_fraction`` of the weight must be reached.
+    """
+    sums = zone_sums(edges, points, limit, rate, most)
     own = points.groupBy(F.col("zone").alias("origin")).agg(F.sum(F.col("weight") * F.col("weight")).alias("self"))
     full = sums.join(own, "origin").withColumn("full", F.when(F.col("origin") == F.col("destination"), 1 - F.col("self")).otherwise(1.0))
     fraction = F.col("den") / F.col("full")
-    return full.where(fraction >= least_fraction - 1e-9).select("origin", "destination", (F.col("num") / F.col("den")).alias("seconds"), fraction.alias("fraction"))
+    seconds = F.col("num") / F.col("den") if rate is None else -F.log(F.col("logs") / F.col("den")) / rate
+    more = [(F.col("length") / F.col("den")).alias("metres")] if metres else []
+    return full.where(fraction >= least_fraction - 1e-9).select("origin", "destination", seconds.alias("seconds"), fraction.alias("fraction"), *more)
+
+
+def strong_components(edges: DataFrame, most: int = MAX_EDGES) -> DataFrame:
+    """``(node_id, component)``: the largest node of the nodes that reach each other both ways, by colouring forwards and gathering backwards."""
+    if not fits(edges, most):
+        raise ValueError(f"strong components of over {most} edges aren't built")
+    kind = "node_id bigint, component bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        ids, idx = np.unique(np.concatenate([t.column(0).to_numpy(), t.column(1).to_numpy()]), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[strong_labels(idx[: t.num_rows], idx[t.num_rows :], len(ids))])], ["node_id", "component"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, kind)  # two numbers an edge, of a network that would be broadcast as well
+
+
+def strong_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The largest node of each node's strong component."""
+    label, left = np.full(n, -1), np.ones(n, bool)
+    while left.any():
+        while True:  # a node without a way in or out is its own
+            keep = left[a] & left[b]
+            a, b = a[keep], b[keep]
+            lone = np.flatnonzero(left & ~((np.bincount(a, minlength=n) > 0) & (np.bincount(b, minlength=n) > 0)))
+            if not len(lone):
+                break
+            label[lone], left[lone] = lone, False
+        colour = np.arange(n)
+        order = np.argsort(b, kind="stable")
+        ends, at = np.unique(b[order], return_index=True)
+        while len(ends):  # the largest node that reaches each one
+            new = np.maximum(colour[ends], np.maximum.reduceat(colour[a[order]], at))
+            if (new == colour[ends]).all():
+                break
+            colour[ends] = new
+        same = colour[a] == colour[b]
+        sa, sb = a[same], b[same]
+        found = left & (colour == np.arange(n))
+        while True:  # back from each colour's node
+            new = sa[found[sb] & ~found[sa]]
+            if not len(new):
+                break
+            found[new] = True
+        label[found], left[found] = colour[found], False
+    return label
 
 
 def weak_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

@@ -17,7 +17,7 @@ from strideflow.plans.links import network, normalise, read_links
 from strideflow.queries.data import _IN
 from strideflow.queries.links import _COST, _NORM, _SHARED, _TRAFFIC, _case, net_sql
 from strideflow.sources.files import read_network, read_points, write_network
-from strideflow.sources.tables import read_table
+from strideflow.sources.tables import read_table, table_stamp
 
 R = lambda c, n=4: F.round(c, n)
 LIMIT = 120.0
@@ -27,8 +27,15 @@ SNAP = 1000.0
 NEAR = 900.0
 
 
+_NETS: dict[tuple, object] = {}
+
+
 def _net(s, d):
-    return cut(network(s, d, sp.BIKE))
+    """The priced network, built once in a session for the same tables."""
+    key = (s.sparkContext.applicationId, d, table_stamp(s, d, "links"))
+    if key not in _NETS:
+        _NETS[key] = cut(network(s, d, sp.BIKE))
+    return _NETS[key]
 
 
 def _sources(net):
@@ -53,8 +60,8 @@ def i04_relational_matrix(s, d):
 
 def i19_least_cost(s, d):
     """Seconds to every node from the nearest node whose id divides by fifty."""
-    net, m = _matrix(s, d)
-    return m.where("origin % 50 = 0").groupBy("destination").agg(R(F.min("seconds")).alias("seconds"))
+    net = _net(s, d)
+    return G.least_cost(net, _sources(net).where("node_id % 50 = 0"), LIMIT).select("destination", R("seconds").alias("seconds"))
 
 
 def i17_reverse_matrix(s, d):

@@ -228,3 +228,77 @@ def test_reverse_search_runs_to_every_node(spark, monkeypatch):
     monkeypatch.setattr(N, "_net", lambda s, d: e)
     want = [(a, b, 10.0 * abs(a - b)) for a in range(12) for b in range(12)]
     assert rows(N.i17_whole_reverse_matrix(spark, "").select("origin", "destination", "seconds")) == want
+
+
+def test_twins_without_broadcast_agree(spark):
+    e = L.fastest_parallel(_random(spark)).cache()
+    r = random.Random(8)
+    s = spark.createDataFrame([(k,) for k in range(0, 60, 4)] + [(900,), (None,)], "node_id long")
+    near = lambda df: {tuple(x[:2]): tuple(round(y, 6) for y in x[2:]) for x in df.collect()}
+    assert near(G.od_matrix(e, s, 90.0)) == near(G.od_matrix(e, s, 90.0, most=0))
+    assert dict(rows(G.least_cost(e, s, 60.0).select("destination", F.round("seconds", 6)))) == dict(rows(G.least_cost(e, s, 60.0, most=0).select("destination", F.round("seconds", 6))))
+    m = near(G.od_matrix(e, s, 60.0))
+    want = {}
+    for (_, d), (x, _) in m.items():
+        want[d] = min(x, want.get(d, 1e9))
+    assert dict(rows(G.least_cost(e, s, 60.0).select("destination", F.round("seconds", 6)))) == want
+    dem = spark.createDataFrame([(r.randrange(60), r.randrange(66), float(r.randrange(4))) for _ in range(300)], "origin long, destination long, demand double")
+    for chosen in (None, [3, 70, 71, 90]):
+        a, b = G.assign(e, dem, 120.0, chosen), G.assign(e, dem, 120.0, chosen, most=0)
+        for kind in ("missed", "length", "via"):
+            assert near(a.where(F.col("kind") == kind).select("origin", "destination", "value")) == near(b.where(F.col("kind") == kind).select("origin", "destination", "value"))
+        va, vb = ({tuple(x)[:4]: round(x.volume, 6) for x in G.link_volumes(y).collect()} for y in (a, b))
+        assert va == vb
+    pairs = dem.select("origin", "destination").distinct()
+    assert rows(G.paths(e, pairs, 120.0)) == rows(G.paths(e, pairs, 120.0, most=0))
+    p = spark.createDataFrame([(k // 5, k, r.random(), 10.0, 5.0) for k in range(40)], "zone long, node_id long, weight double, access_s double, access_m double")
+    for rate in (None, 0.01):
+        assert near(G.zone_matrix(e, p, 90.0, 0.2, rate, True)) == near(G.zone_matrix(e, p, 90.0, 0.2, rate, True, most=0))
+
+
+def test_search_against_a_heap(spark):
+    import heapq
+
+    import numpy as np
+
+    r = random.Random(12)
+    n = 300
+    e = [(i, (i + 1) % n, r.uniform(1, 60), r.uniform(1, 60)) for i in range(n)] + [(r.randrange(n), r.randrange(n), r.uniform(1, 60), r.uniform(1, 60)) for _ in range(900)]
+    u, v, s, m = (np.array(c) for c in zip(*e))
+    g = G.Graph(u * 10, v * 10, s, m, np.arange(len(u)), np.ones(len(u), int))
+    out = {}
+    for a, b, x, y in e:
+        out.setdefault(a, []).append((b, x, y))
+    for limit in (np.inf, 80.0):
+        for roots in ([0, 7, 99], [5]):
+            t = g.search(np.array(roots), limit)
+            for k, root in enumerate(roots):
+                dist, metres, heap = {}, {}, [(0.0, root, 0.0)]
+                while heap:
+                    d, x, w = heapq.heappop(heap)
+                    if x not in dist:
+                        dist[x], metres[x] = d, w
+                        for y, q, z in out.get(x, ()):
+                            if d + q <= limit:
+                                heapq.heappush(heap, (d + q, y, w + z))
+                mine = t.source == k
+                assert np.allclose([dist[x] for x in t.node[mine].tolist()], t.seconds[mine]) and mine.sum() == len(dist)
+                assert np.allclose([metres[x] for x in t.node[mine].tolist()], t.along(g.metres)[mine])
+
+
+def test_strong_components(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (7, 7), (8, 9)], "u long, v long")
+    assert rows(G.strong_components(e)) == [(1, 3), (2, 3), (3, 3), (4, 5), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9)]
+    r = random.Random(2)
+    pairs = [(r.randrange(200), r.randrange(200)) for _ in range(260)]
+    reach = {a: {a} for a in range(200)}
+    for a in reach:
+        todo = [a]
+        while todo:
+            x = todo.pop()
+            for p, q in pairs:
+                if p == x and q not in reach[a]:
+                    reach[a].add(q), todo.append(q)
+    seen = {x for p in pairs for x in p}
+    want = {a: max(b for b in seen if b in reach[a] and a in reach[b]) for a in seen}
+    assert dict(rows(G.strong_components(spark.createDataFrame(pairs, "u long, v long")))) == want
