@@ -28,6 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="strideflow-")
+        forget_later(spark, _own[app])
     return _own[app]
 
 
@@ -51,6 +52,11 @@ def cut(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    """``path`` is deleted when the program ends, as all cuts are."""
+    _written.append(((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()), path))
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a table that :func:`cut` returned and that nothing reads any more."""
     path = getattr(df, "_cut_path", None)
@@ -61,6 +67,6 @@ def drop_cut(df: DataFrame) -> None:
 
 @atexit.register
 def _drop_all() -> None:
-    for item in _written:
+    for item in reversed(_written):
         _delete(*item)
     _written.clear()

@@ -12,7 +12,7 @@ from strideflow.functions import speeds as sp
 from strideflow.operators.nearness import nearest_within, pairs_within, regions_of_points
 from strideflow.plans import graph as G
 from strideflow.plans.demand import od_demand, stitch, trips
-from strideflow.plans.lineage import cut, shared_folder
+from strideflow.plans.lineage import cut, forget_later, shared_folder
 from strideflow.plans.links import network, normalise, read_links
 from strideflow.queries.data import _IN
 from strideflow.queries.links import _COST, _NORM, _SHARED, _TRAFFIC, _case, net_sql
@@ -416,6 +416,7 @@ def a11_point_file(s, d):
     """The centroids through a CSV file with semicolons."""
     c = read_table(s, d, "centroids", ["centroid_id", "x", "y"]).where("x is not null and y is not null").distinct()
     path = f"{shared_folder(s)}/points-{uuid.uuid4().hex}"
+    forget_later(s, path)
     c.write.csv(path, header=True, sep=";")
     return read_points(s, path, "centroid_id").select(F.col("id").cast("bigint").alias("centroid_id"), "x", "y")
 
@@ -423,6 +424,7 @@ def a11_point_file(s, d):
 def a23_network_file(s, d):
     """The network through its stored form."""
     path = f"{shared_folder(s)}/network-{uuid.uuid4().hex}"
+    forget_later(s, path)
     write_network(network(s, d, sp.BIKE), path, "bike")
     return read_network(s, path, "bike").select("u", "v", "link_id", F.col("direction").cast("int").alias("direction"))
 
@@ -464,6 +466,7 @@ FROM dist JOIN zp a ON a.node_id = src JOIN zp b ON b.node_id = dist.node JOIN o
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[1:3].isdigit()}
 _COMP = f"{net_sql(sp.BIKE)}, two AS (SELECT u AS a, v AS b FROM net UNION SELECT v, u FROM net), reach(a, b) AS (SELECT a, a FROM two UNION SELECT r.a, e.b FROM reach r JOIN two e ON e.a = r.b), comp AS (SELECT a AS node_id, min(b) AS component FROM reach GROUP BY 1)"
 SQL = {
+    "i25_gap_connectors": f"WITH RECURSIVE {_COMP}, xy AS (SELECT node_id, p[1] AS x, p[2] AS y FROM (SELECT node_id, min((x, y)) AS p FROM nodes WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1)), cx AS (SELECT * FROM comp JOIN xy USING (node_id)), gap AS (SELECT a.component AS ac, b.component AS bc, a.node_id AS a, b.node_id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS g FROM cx a JOIN cx b ON a.node_id < b.node_id AND a.component <> b.component AND abs(a.x - b.x) < 50 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 49.999), e AS (SELECT ac AS component, a, b, g FROM gap UNION ALL SELECT bc, a, b, g FROM gap) SELECT component, m[2] AS u, m[3] AS v, m[1] AS gap_m FROM (SELECT component, min((round(g, 3), a, b)) AS m FROM e GROUP BY 1)",
     "d08_components": f"WITH RECURSIVE {_COMP} SELECT component, count(*) AS nodes FROM comp GROUP BY 1",
     "d09_largest_component": f"WITH RECURSIVE {_COMP}, largest AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT node_id FROM comp WHERE component = (SELECT component FROM largest)",
     "i03_point_matrix": f"WITH RECURSIVE {_DIST} SELECT d.src AS origin, d.node AS destination, round(d.d, 4) AS seconds, round(w.len, 3) AS metres FROM dist d JOIN ways w ON w.src = d.src AND w.dest = d.node",

@@ -12,6 +12,13 @@ NETWORK_VERSION = 1
 DELIMITERS = ";\t,|"
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """``path`` goes with the session's cuts: a written result that a query reads back at once."""
+    from strideflow.plans.lineage import forget_later
+
+    forget_later(spark, path)
+
+
 def sniff_delimiter(header: str) -> str:
     """The delimiter that the header line holds most of."""
     return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
