@@ -103,7 +103,7 @@ def _distance(p, s, over: float) -> Column:
     return F.when(same_way & (beyond <= over), F.hypot(p["x"] - s["ax"] - dx * c, p["y"] - s["ay"] - dy * c))
 
 
-def road_candidates(links: DataFrame, lines: DataFrame, reach: float = 20.0, step: float = 8.0, over: float = 6.0, cell_rows: int = CELL_ROWS) -> DataFrame:
+def road_candidates(links: DataFrame, lines: DataFrame, reach: float = 30.0, step: float = 8.0, over: float = 6.0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Every link and line that run side by side within ``reach``: ``(link, line, cover, offset_m, forward, pos, …attributes)``.
 
     ``links`` (``link``, ``geometry``, …) and ``lines`` (``line``, ``geometry``, …).
@@ -138,7 +138,7 @@ def road_candidates(links: DataFrame, lines: DataFrame, reach: float = 20.0, ste
     }).drop("samples", "vsegs", "beside", "cell", "salt", "mid_d", "ax", "ay", "a_id", "start", "end")
 
 
-def match_roads(links: DataFrame, lines: DataFrame, cover: float = 0.85, reach: float = 20.0, section: float = 30.0) -> DataFrame:
+def match_roads(links: DataFrame, lines: DataFrame, cover: float = 0.85, reach: float = 30.0, section: float = 30.0) -> DataFrame:
     """``(link, line, offset_m, belief, confidence)`` of the candidate pairs along the whole link.
 
     ``links`` (``link``, ``geometry``, ``name``, ``road_class``), ``lines``
