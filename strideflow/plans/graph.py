@@ -162,21 +162,28 @@ def _batch(columns: dict, kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) if c is not None else pa.nulls(len(columns["value"]), kinds[k]) for k, c in columns.items()], list(columns))
 
 
-def od_matrix(edges: DataFrame, sources: DataFrame, limit: float, most: int = MAX_EDGES) -> DataFrame:
-    """``(origin, destination, seconds, metres)`` from every source (``node_id``) to all nodes within ``limit`` seconds; metres along the fastest way."""
+def od_matrix(edges: DataFrame, sources: DataFrame, limit: float, most: int = MAX_EDGES, targets: DataFrame | None = None) -> DataFrame:
+    """``(origin, destination, seconds, metres)`` from every source (``node_id``) to all nodes, or ``targets`` (``node_id``), within ``limit`` seconds; metres along the fastest way."""
     if not fits(edges, most):
-        return relational_tree(edges, sources, limit).select("origin", "destination", "seconds", "metres")
-    shared = edges.sparkSession.sparkContext.broadcast(collect_graph(edges))
+        tree = relational_tree(edges, sources, limit).select("origin", "destination", "seconds", "metres")
+        return tree if targets is None else tree.join(targets.select(F.col("node_id").alias("destination")).distinct(), "destination", "left_semi").select(tree.columns)
+    graph, asked = collect_graph(edges), None
+    if targets is not None:  # one flag for each node of the network
+        asked = np.zeros(len(graph.ids), bool)
+        at = graph.indexes(targets.select("node_id").where("node_id is not null").join(edges.select(F.explode(F.array("u", "v")).alias("node_id")).distinct(), "node_id", "left_semi").distinct().toArrow().column(0).to_numpy())
+        asked[at] = True
+    shared = edges.sparkSession.sparkContext.broadcast((graph, asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
+        g, asked = shared.value
         for b in batches:
             nodes = b.column(0).to_numpy()
             at = g.indexes(nodes)
             nodes, at = nodes[at >= 0], at[at >= 0]
             for i, j in g.blocks(len(at)):
                 t = g.search(at[i:j], limit)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i:j][t.source]), pa.array(g.ids[t.node]), pa.array(t.seconds), pa.array(t.along(g.metres))], ["origin", "destination", "seconds", "metres"])
+                k = slice(None) if asked is None else np.flatnonzero(asked[t.node])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i:j][t.source[k]]), pa.array(g.ids[t.node[k]]), pa.array(t.seconds[k]), pa.array(t.along(g.metres)[k])], ["origin", "destination", "seconds", "metres"])
 
     return _spread(sources.select("node_id").where("node_id is not null").distinct()).mapInArrow(run, "origin bigint, destination bigint, seconds double, metres double")
 

@@ -122,6 +122,15 @@ def _trips(s, d):
     return net, cut(od.select("origin", "destination", "demand", "o_node", "d_node"))
 
 
+def i03_hour_matrix(s, d):
+    """Seconds and metres between the centroids' nodes within an hour by bike."""
+    net, place = _net(s, d), lambda t, k: read_table(s, d, t, [k, "x", "y"]).where("x is not null and y is not null").groupBy(k).agg(F.min(F.struct("x", "y")).alias("p")).select(k, "p.x", "p.y")
+    used = net.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    near = nearest_within(place("centroids", "centroid_id"), "centroid_id", place("nodes", "node_id").join(used, "node_id"), "node_id", SNAP)
+    at = cut(near.select(F.col("target_id").alias("node_id")).distinct())
+    return G.od_matrix(net, at, 3600.0, targets=at).select("origin", "destination", R("seconds").alias("seconds"), R("metres", 3).alias("metres"))
+
+
 def _by_node(od):
     return od.select(F.col("o_node").alias("origin"), F.col("d_node").alias("destination"), "demand")
 

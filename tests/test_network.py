@@ -236,6 +236,9 @@ def test_twins_without_broadcast_agree(spark):
     s = spark.createDataFrame([(k,) for k in range(0, 60, 4)] + [(900,), (None,)], "node_id long")
     near = lambda df: {tuple(x[:2]): tuple(round(y, 6) for y in x[2:]) for x in df.collect()}
     assert near(G.od_matrix(e, s, 90.0)) == near(G.od_matrix(e, s, 90.0, most=0))
+    to = spark.createDataFrame([(k,) for k in range(0, 60, 7)] + [(901,), (None,)], "node_id long")
+    some = near(G.od_matrix(e, s, 90.0, targets=to))
+    assert some == near(G.od_matrix(e, s, 90.0, most=0, targets=to)) == {k: v for k, v in near(G.od_matrix(e, s, 90.0)).items() if k[1] % 7 == 0}
     assert dict(rows(G.least_cost(e, s, 60.0).select("destination", F.round("seconds", 6)))) == dict(rows(G.least_cost(e, s, 60.0, most=0).select("destination", F.round("seconds", 6))))
     m = near(G.od_matrix(e, s, 60.0))
     want = {}
