@@ -149,14 +149,68 @@ def _bridged(outer: list, holes: list[list]) -> list:
     return outer
 
 
+def _sides(rings: list[np.ndarray]) -> np.ndarray:
+    """All sides of the rings as rows ax ay bx by."""
+    return np.concatenate([np.concatenate([r, np.roll(r, -1, axis=0)], axis=1) for r in rings])
+
+
+def _crossings(e: np.ndarray) -> np.ndarray:
+    """The heights at which sides cross each other elsewhere than at their ends."""
+    out, d = [], e[:, 2:] - e[:, :2]
+    step = max(1, 1_000_000 // len(e))
+    for k in range(0, len(e), step):
+        a, da = e[k : k + step, None, :], d[k : k + step, None, :]
+        side = lambda q: da[..., 0] * (q[..., 1] - a[..., 1]) - da[..., 1] * (q[..., 0] - a[..., 0])
+        back = lambda q: d[None, :, 0] * (q[..., 1] - e[None, :, 1]) - d[None, :, 1] * (q[..., 0] - e[None, :, 0])
+        t1, t2 = back(a[..., :2]), back(a[..., 2:])
+        i, j = np.nonzero((side(e[None, :, :2]) * side(e[None, :, 2:]) < 0) & (t1 * t2 < 0))
+        t = t1[i, j] / (t1[i, j] - t2[i, j])
+        out.append(e[k + i, 1] + t * d[k + i, 1])
+    return np.concatenate(out)
+
+
+def _even_odd(e: np.ndarray, crossings: np.ndarray) -> np.ndarray:
+    """Triangles of what lies inside by the even-odd rule: slabs between neighbouring heights, in which no sides cross."""
+    ys, out = np.unique(np.concatenate([e[:, 1], e[:, 3], crossings])), []
+    for y0, y1 in zip(ys[:-1], ys[1:]):
+        mid = (y0 + y1) / 2
+        on = e[(np.minimum(e[:, 1], e[:, 3]) < mid) & (np.maximum(e[:, 1], e[:, 3]) > mid)]
+        at = lambda y, on=on: on[:, 0] + (y - on[:, 1]) * (on[:, 2] - on[:, 0]) / (on[:, 3] - on[:, 1])
+        order = np.argsort(at(mid), kind="stable")
+        low, high = at(y0)[order], at(y1)[order]
+        for k in range(0, len(order) - 1, 2):
+            a, b, c, d = (low[k], y0), (low[k + 1], y0), (high[k + 1], y1), (high[k], y1)
+            out += [(*a, *b, *c)] * int(b[0] > a[0]) + [(*a, *c, *d)] * int(c[0] > d[0])
+    return np.array(out, dtype=float).reshape(-1, 6)
+
+
 def triangulate(rings: list) -> np.ndarray:
     """Ear clipping of a polygon with holes: an array (n, 6) of triangles ax ay bx by cx cy.
 
     The first ring is the outer one.  Rings of fewer than three different
-    points, or without area, count as absent.
+    points, or without area, count as absent.  Of rings that cross themselves
+    or each other, or whose triangles don't have the polygon's area, what is
+    inside by the even-odd rule is cut into triangles.
     """
     rings = [_open(r) for r in rings or [] if r is not None]
-    if not rings or len(rings[0]) < 3 or _area2(rings[0]) == 0:
+    if not rings or len(rings[0]) < 3 or not np.ptp(rings[0], axis=0).all():
+        return np.zeros((0, 6))
+    rings = [rings[0], *(h for h in rings[1:] if len(h) >= 3)]
+    e = _sides(rings)
+    crossings = _crossings(e)
+    if not len(crossings):
+        t = _ears(rings)
+        whole = (abs(_area2(rings[0])) - sum(abs(_area2(h)) for h in rings[1:])) / 2
+        x, y = t[:, 0::2], t[:, 1::2]
+        area = ((x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (y[:, 1] - y[:, 0]) * (x[:, 2] - x[:, 0])).sum() / 2
+        if abs(area - whole) <= 1e-6 * abs(_area2(rings[0])):
+            return t
+    return _even_odd(e, crossings)
+
+
+def _ears(rings: list[np.ndarray]) -> np.ndarray:
+    """The triangles of rings that don't cross."""
+    if _area2(rings[0]) == 0:
         return np.zeros((0, 6))
     outer = rings[0] if _area2(rings[0]) > 0 else rings[0][::-1]
     holes = [(h if _area2(h) < 0 else h[::-1]).tolist() for h in rings[1:] if len(h) >= 3 and _area2(h) != 0]

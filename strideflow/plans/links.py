@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideflow.functions import speeds as sp
@@ -40,9 +40,11 @@ def normalise(links: DataFrame, order: str = "link_row") -> DataFrame:
     Normalising twice changes nothing.
     """
     ok = links.where((F.size("geometry") > 1) & F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-    ranked = ok.withColumn("_nth", F.row_number().over(Window.partitionBy("link_id").orderBy(order)))
-    keep = ranked.where(F.col("link_id").isNotNull() & (F.col("_nth") == 1)).drop("_nth")
-    new = running(ranked.where(F.col("link_id").isNull() | (F.col("_nth") > 1)).drop("_nth"), [order], name="_n")
+    # the first of each id is known by its place, so that the rows of an id, or those without one, needn't come together
+    first = ok.where("link_id is not null").groupBy("link_id").agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_first"))
+    ranked = ok.join(first, order, "left")
+    keep = ranked.where("_first").drop("_first").select(ok.columns)
+    new = running(ranked.where("_first is null").drop("_first").select(ok.columns), [order], name="_n")
     top = ok.agg(F.coalesce(F.max("link_id"), F.lit(0)).alias("_top"))
     renumbered = new.crossJoin(F.broadcast(top)).withColumn("link_id", F.col("_top") + F.col("_n")).drop("_n", "_top")
     return keep.unionByName(renumbered).withColumn("length_m", line_length("geometry"))

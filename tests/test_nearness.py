@@ -75,3 +75,28 @@ def test_regions(spark, most):
     got = {r[0]: r[3] for r in regions_of_points(pts, "k", polys, "m", broadcast_triangles=most, tile_points=2).collect()}
     assert got == {1: 2, 2: 3, 3: 1, 4: 1, 7: 2}
     assert regions_of_points(pts.limit(0), "k", polys, "m").count() == 0 and regions_of_points(pts, "k", polys.limit(0), "m").count() == 0
+
+
+def test_invalid_rings_are_taken_by_the_even_odd_rule():
+    import numpy as np
+
+    from strideflow.operators.nearness import TriangleTree, triangulate
+
+    sq = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    shapes = {
+        "uneven bow-tie": [[(0, 0), (10, 7), (10, 0), (0, 9), (0, 0)]], "overlapping holes": [sq(0, 0, 10), sq(2, 2, 4), sq(4, 4, 4)], "hole over the edge": [sq(0, 0, 10), sq(7, 3, 6)],
+        "hole in a hole": [sq(0, 0, 10), sq(1, 1, 8), sq(3, 3, 3)], "star": [[(5, 0), (8, 10), (0, 4), (10, 4), (2, 10), (5, 0)]], "valid": [sq(0, 0, 10), sq(3, 3, 2)],
+        "touching itself": [[(0, 0), (10, 0), (10, 10), (5, 5), (0, 10), (0, 0)], sq(4, 1, 1)],
+    }
+    r = np.random.default_rng(3)
+    x, y = r.uniform(-1, 14, 4000), r.uniform(-1, 11, 4000)
+    for name, rings in shapes.items():
+        inside = np.zeros(len(x), int)
+        for ring in rings:
+            for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+                up = (ay > y) != (by > y)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    inside += up & (x < ax + (y - ay) * (bx - ax) / (by - ay))
+        t = triangulate(rings)
+        p, _ = TriangleTree(t, np.zeros(len(t), int)).regions(x, y)
+        assert set(p.tolist()) == set(np.flatnonzero(inside % 2).tolist()), name
