@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 PATHS = ("cycleway", "path", "track", "bridleway", "footway", "pedestrian", "steps", "elevator")
 CARS = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service", "road")
 
-# Kilometres an hour by highway, factors by surface, the road
-# classes' and facilities' costs a kilometre, waits and penalties in seconds.
+# Fixed values, as they are published: kilometres an hour by highway, factors by
+# surface, the road classes' and facilities' costs a kilometre, waits and
+# penalties in seconds.
 WALK_HIGHWAY = {
-    "steps": 1.2, "elevator": 1.0, "path": 4.3, "track": 4.3, "bridleway": 4.0, "corridor": 4.5, "primary": 4.7, "primary_link": 4.7, "trunk": 4.5, "trunk_link": 4.5,
+    "steps": 1.2, "elevator": 1.0, "path": 4.3, "track": 4.3, "bridleway": 4.0, "corridor": 4.5, "footway": 4.8, "pedestrian": 4.8, "living_street": 4.8,
+    "residential": 4.8, "service": 4.8, "cycleway": 4.8, "unclassified": 4.8, "tertiary": 4.8, "tertiary_link": 4.8, "secondary": 4.8, "secondary_link": 4.8,
+    "primary": 4.7, "primary_link": 4.7, "trunk": 4.5, "trunk_link": 4.5,
 }
 WALK_SURFACE = {
     "asphalt": 1.0, "concrete": 1.0, "paved": 1.0, "paving_stones": 0.98, "compacted": 0.98, "fine_gravel": 0.97, "wood": 0.95, "gravel": 0.92, "cobblestone": 0.90,
     "sett": 0.90, "unpaved": 0.92, "ground": 0.88, "dirt": 0.88, "earth": 0.88, "grass": 0.85, "snow": 0.80, "ice": 0.75, "sand": 0.75, "mud": 0.70,
 }
 BIKE_HIGHWAY = {
-    "steps": 1.2, "elevator": 1.0, "cycleway": 18.0, "path": 11.0, "track": 10.0, "bridleway": 8.0, "footway": 4.0, "pedestrian": 6.0, "corridor": 5.0, "living_street": 13.0,
-    "residential": 18.0, "unclassified": 18.0, "tertiary": 18.0, "secondary": 18.0, "primary": 18.0, "trunk": 18.0, "service": 16.0, "tertiary_link": 16.0,
-    "secondary_link": 16.0, "primary_link": 16.0, "trunk_link": 16.0,
+    "steps": 1.2, "elevator": 1.0, "cycleway": 18.0, "path": 11.0, "track": 10.0, "bridleway": 8.0, "footway": 4.0, "pedestrian": 6.0, "corridor": 5.0,
+    "living_street": 13.0, "residential": 18.0, "service": 16.0, "unclassified": 18.0, "tertiary": 18.0, "tertiary_link": 16.0, "secondary": 18.0, "secondary_link": 16.0,
+    "primary": 18.0, "primary_link": 16.0, "trunk": 18.0, "trunk_link": 16.0,
 }
 BIKE_SURFACE = {
     "asphalt": 1.0, "concrete": 1.0, "paved": 1.0, "paving_stones": 0.90, "compacted": 0.87, "fine_gravel": 0.87, "wood": 0.80, "gravel": 0.70, "unpaved": 0.70,
@@ -63,12 +66,16 @@ def lookup(table: dict, key: Column, default: float | None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(float(default)))
 
 
+def names(packed: Column, value: str) -> Column:
+    """Whether one of the ``;``-parts of a tag is ``value``; not where the tag is missing."""
+    return F.coalesce(F.array_contains(F.transform(F.split(packed, ";"), lambda p: F.trim(p)), value), F.lit(False))
+
+
 def facility(cycleway: Column | None) -> Column:
     """The factor of the best cycling facility named in a ``;``-joined value."""
     if cycleway is None:
         return F.lit(MIXED)
-    has = lambda w: cycleway.rlike(rf"(?:^|;)\s*{w}\s*(?:;|$)")
-    return F.when(has("track"), TRACK).when(has("lane"), LANE).otherwise(MIXED)
+    return F.when(names(cycleway, "track"), TRACK).when(names(cycleway, "lane"), LANE).otherwise(MIXED)
 
 
 def disutility(highway: Column, cycleway: Column | None = None) -> Column:

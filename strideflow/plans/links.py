@@ -74,12 +74,12 @@ def priced(links: DataFrame, profile: sp.Profile) -> DataFrame:
     cars = sp.car_volume(F.col("car_volume"), F.col("car_volume_override"), F.col("adjacent_car_volume"))
     forward, reverse = cycleway_by_direction()
     road = F.coalesce(~highway.isin(*sp.PATHS), F.lit(True))
-    says = lambda c, w: F.coalesce(F.lower(F.col(c)).rlike(rf"(?:^|;)\s*{w}\s*(?:;|$)"), F.lit(False))
+    says = lambda c, w: sp.names(F.lower(F.col(c)), w)
     out = {}
     for way, cycleway, tag in (("", forward, "bicycle_forward"), ("_reverse", reverse, "bicycle_backward")):
         v = sp.speed(profile, highway, F.col("surface"), F.col("segregated"), cars, cycleway)
         if bike:
-            aside = road & (says("bicycle", "use_sidepath") | says(tag, "use_sidepath") | cycleway.rlike(r"(?:^|;)\s*separate\s*(?:;|$)"))
+            aside = road & (says("bicycle", "use_sidepath") | says(tag, "use_sidepath") | sp.names(cycleway, "separate"))
             v = F.when(aside, v / sp.SIDEPATH).otherwise(v)
         out[f"speed{way}_kmh"] = F.when(F.col("speed_override_kmh") > 0, F.col("speed_override_kmh")).otherwise(v)
     climb = F.greatest(F.coalesce("ascent_override_m", "ascent_m", F.lit(0.0)), F.lit(0.0))

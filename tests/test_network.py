@@ -305,3 +305,9 @@ def test_strong_components(spark):
     seen = {x for p in pairs for x in p}
     want = {a: max(b for b in seen if b in reach[a] and a in reach[b]) for a in seen}
     assert dict(rows(G.strong_components(spark.createDataFrame(pairs, "u long, v long")))) == want
+
+
+def test_values_among_others_in_a_tag(spark):
+    df = spark.createDataFrame([(1, "lane; track"), (2, "tracks"), (3, " track "), (4, None), (5, ""), (6, "a;separate;b")], "k long, t string")
+    got = {r.k: (r.a, r.b, r.f) for r in df.select("k", sp.names(F.col("t"), "track").alias("a"), sp.names(F.col("t"), "separate").alias("b"), sp.facility(F.col("t")).alias("f")).collect()}
+    assert got == {1: (True, False, sp.TRACK), 2: (False, False, sp.MIXED), 3: (True, False, sp.TRACK), 4: (False, False, sp.MIXED), 5: (False, False, sp.MIXED), 6: (False, True, sp.MIXED)}
