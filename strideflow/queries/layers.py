@@ -285,6 +285,7 @@ SQL = {
     "a05_extracted_links": f"WITH {_XTR} SELECT x.link_id, x.way, x.u, x.v, any_value(k.highway) AS highway, any_value(k.surface) AS surface, any_value(k.oneway_bicycle) AS oneway_bicycle, any_value(k.site) AS under_construction, round(sum(st.len), 4) AS length_m FROM xl x JOIN kw k USING (way) JOIN st ON st.way = x.way AND st.pos > x.a AND st.pos <= x.b GROUP BY 1, 2, 3, 4",
     "b04_links_in_polygon": f"WITH pts AS (SELECT link_row AS centroid_id, geometry[1].x AS x, geometry[1].y AS y FROM links WHERE len(geometry) > 1), {_IN.strip()}, seg AS {_SEG('links', 'link_row', 't')}, re AS (SELECT municipality_id, ax AS lax, ay AS lay, bx AS lbx, edges.by AS lby FROM edges), hit AS (SELECT DISTINCT municipality_id, link_row FROM seg JOIN re ON least(lax, lbx) <= greatest(tax, tbx) AND least(tax, tbx) <= greatest(lax, lbx) AND least(lay, lby) <= greatest(tay, tby) AND least(tay, tby) <= greatest(lay, lby) AND {_SIDE('la', 'lb', 'ta')} * {_SIDE('la', 'lb', 'tb')} <= 0 AND {_SIDE('ta', 'tb', 'la')} * {_SIDE('ta', 'tb', 'lb')} <= 0 UNION SELECT min(municipality_id), centroid_id FROM inside GROUP BY centroid_id) SELECT municipality_id, link_row, row_number() OVER (ORDER BY municipality_id, link_row) - 1 AS link_id FROM hit",
     "c07_resolved_ends": f"WITH RECURSIVE {_LOOSE} SELECT link_row, max(node) FILTER (side = 0) AS u, max(node) FILTER (side = 1) AS v FROM res GROUP BY 1 HAVING link_row IN (SELECT link_row FROM ends WHERE node = 0)",
+    "i25_island_connectors": f"WITH RECURSIVE {_FOREST} SELECT u, v, round(gap_m, 3) AS gap_m FROM forest",
     "i25_connector_layer": f"WITH RECURSIVE {_FOREST} SELECT CASE WHEN gap_m < 50 THEN 'gap' ELSE 'island' END AS kind, count(*) AS connectors, round(sum(gap_m), 2) AS metres, count(*) FILTER (gap_m >= 50) AS with_speed FROM forest GROUP BY 1",
     "b35_island_ids": f"WITH RECURSIVE {_FOREST} SELECT -n AS link_id FROM (SELECT row_number() OVER (ORDER BY gap_m, u, v) AS n, gap_m FROM forest) WHERE gap_m >= 50",
     "g02_merged_layer": f"WITH RECURSIVE {_FOREST} SELECT 'link' AS kind, count(*) AS links, count(surface) AS with_surface, 0::BIGINT AS with_parts FROM norm UNION ALL SELECT CASE WHEN gap_m < 50 THEN 'gap' ELSE 'island' END, count(*), 0, count(*) FROM forest GROUP BY 1",

@@ -351,6 +351,9 @@ _AREA = "area AS (SELECT polygon_id, municipality_id, sum(CASE WHEN k = 1 THEN 1
 _STORE = f"WITH {_T}, od AS (SELECT origin, destination, sum(demand) AS demand, sum(demand * length_m) / sum(demand) AS length_m FROM t WHERE demand > 0 AND length_m IS NOT NULL GROUP BY 1, 2)"
 _ROAD_BETA = "CASE highway " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in sp.ROAD_BETA.items()) + " END"
 
+_BESIDE = _priced_sql(sp.BIKE).replace(", fast AS", ", norm2 AS (SELECT * REPLACE (CASE WHEN highway = 'path' AND (car_volume IS NULL OR isnan(car_volume)) THEN 50 ELSE car_volume END AS car_volume) FROM norm), fast AS").replace("FROM norm), priced", "FROM norm2), priced")
+_CLIMB = lambda up: f"CASE WHEN {up} / length_m >= {sp.GRADE_MAX} THEN 0 WHEN {up} / length_m > {sp.GRADE_STEEP} THEN {sp.STEEP_FACTOR} * {up} ELSE {sp.GRADE_FACTOR} * {up} END"
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[1:3].isdigit()}
 SQL = {
     "i20_routes": f"WITH RECURSIVE {_ST} SELECT route, round(sum(n.travel_time_s), 4) AS seconds, round(sum(n.length_m), 3) AS metres, count(*) AS links FROM se JOIN net n ON n.u = e[1] AND n.v = se.node GROUP BY 1",
@@ -374,6 +377,8 @@ SQL = {
     "d04_ascent_by_grade": f"WITH {_GRADE} SELECT link_row, round(a, 4) AS ascent_m, round(b, 4) AS descent_m FROM asc_",
     "d05_ascent_per_km": f"WITH {_GRADE} SELECT round(sum(round(a, 4)) / sum(length_m) * 1000, 4) AS ascent_per_km FROM asc_",
     "b28_measured": f"WITH {_GRADE} SELECT n.link_row IN (SELECT link_row FROM asc_) AS measured, coalesce(highway = 'primary', false) AS overridden, count(*) AS links FROM norm n GROUP BY 1, 2",
+    "b19_overridden_times": f"WITH {_BESIDE}, t AS (SELECT link_row, length_m, highway, CASE WHEN highway = 'tertiary' THEN length_m / (12 / 3.6) ELSE secs END AS secs FROM priced WHERE highway IN ('tertiary', 'path')) SELECT link_row, round(secs + CASE WHEN highway = 'tertiary' THEN {_CLIMB('8.0')} ELSE {_CLIMB('3.0')} END, 6) AS along, round(secs + {_CLIMB('2.0')}, 6) AS against FROM t",
+    "b17_sidepaths": f"WITH {_priced_sql(sp.BIKE)} SELECT link_row, round(speed / {sp.SIDEPATH}, 6) AS along, round(speed, 6) AS against FROM priced WHERE highway IN ('secondary', 'tertiary')",
     "b16_cycleway_factors": "SELECT link_row, round(" + _ROAD_BETA + " + 2.61 * CASE highway WHEN 'secondary' THEN 0.966::DOUBLE WHEN 'tertiary' THEN 1.142 ELSE 1.927 END, 6) AS cost FROM links WHERE highway IN ('secondary', 'tertiary', 'residential')",
     "d03_length_share": f"WITH {_NORM}, w AS (SELECT n.link_row, l.osm_way_id, n.length_m FROM norm n JOIN links l USING (link_row) WHERE osm_way_id IS NOT NULL AND osm_way_id <> -1) SELECT link_row, round(CASE WHEN sum(length_m) OVER p > 0 THEN length_m / sum(length_m) OVER p ELSE 1 / count(*) OVER p END, 8) AS share FROM w WINDOW p AS (PARTITION BY osm_way_id)",
     "h04_parsed_numbers": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 2) END AS value FROM orders",
