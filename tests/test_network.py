@@ -87,6 +87,18 @@ def test_zone_matrix_with_single_points_is_the_point_matrix(spark):
     assert (1, 2) not in {(r[0], r[1]) for r in G.zone_matrix(e, two, 20.0, 0.6).collect()}
 
 
+def test_zone_sums_of_sources_that_reach_nothing(spark):
+    lone = [(1000 + 2 * i, 1001 + 2 * i, 10.0, 100.0, 1000 + i, 1) for i in range(20)]
+    e = _line(spark, 20).unionByName(spark.createDataFrame(lone, EDGE))
+    p = spark.createDataFrame([(i, i, 1.0, 0.0) for i in [*range(20), *(1000 + 2 * i for i in range(20))]], "zone long, node_id long, weight double, access_s double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # each source is a block
+    try:
+        got = rows(G.zone_matrix(e, p, float("inf")).select("origin", "destination", "seconds"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(i, j, 10.0 * abs(i - j)) for i in range(20) for j in range(20) if i != j]
+
+
 def test_weak_components(spark):
     r = random.Random(6)
     perm = list(range(1000, 1300))
