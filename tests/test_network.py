@@ -301,6 +301,62 @@ def test_search_against_a_heap(spark):
                 assert np.allclose([metres[x] for x in t.node[mine].tolist()], t.along(g.metres)[mine])
 
 
+def test_blocks_are_large_where_sources_reach_few_nodes():
+    import numpy as np
+
+    n, r = 300_000, np.random.default_rng(3)  # islands of six nodes, in a ring both ways
+    u = np.arange(n)
+    v = u // 6 * 6 + (u + 1) % 6
+    s = r.uniform(1, 20, 2 * n)
+    g = G.Graph(np.concatenate([u, v]), np.concatenate([v, u]), s, 10 * s, np.arange(2 * n), np.ones(2 * n, int))
+    roots = r.choice(n, 6000, replace=False)
+    roots[::50] = -1  # not in the network
+    for limit in (30.0, np.inf):
+        got = list(g.trees(roots, limit))
+        assert [i for i, _, _ in got] == [0, *[j for _, j, _ in got[:-1]]] and got[-1][1] == len(roots)
+        assert limit == np.inf or len(got) < 10
+        for i, j, t in got[:: max(1, len(got) // 40)]:
+            known = np.flatnonzero(roots[i:j] >= 0)[::7]
+            load = r.random(len(t.key))
+            pushed = t.pushed(load)
+            for k in known.tolist():
+                one, mine = g.search(roots[i + k : i + k + 1], limit), np.flatnonzero(t.source == k)
+                assert (one.node == t.node[mine]).all() and (one.seconds == t.seconds[mine]).all() and (one.edge == t.edge[mine]).all()
+                assert np.allclose(one.along(g.metres), t.along(g.metres)[mine]) and np.allclose(one.pushed(load[mine]), pushed[mine])
+                assert (t.find(np.full(6, k), one.node[0] // 6 * 6 + np.arange(6)) >= 0).sum() == len(mine)
+    assert g.search(np.arange(600), 30.0, None, 100) is None  # more than it may reach
+
+
+def test_blocks_shrink_where_sources_reach_many_nodes(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(G, "FEW", 4000)
+    monkeypatch.setattr(G, "MOST", 8000)
+    monkeypatch.setattr(G, "BLOCK", 1)
+    n = 5000
+    u = np.arange(n - 1)
+    g = G.Graph(u, u + 1, np.ones(n - 1), np.ones(n - 1), u, np.ones(n - 1, int))
+    roots = np.concatenate([np.arange(n - 100, n), np.arange(0, 40)])  # first the ends of a line, then its beginning
+    got = list(g.trees(roots, 3000.0))
+    assert sum(j - i for i, j, _ in got) == len(roots)
+    assert sum(len(t.key) for _, _, t in got) == sum(min(3000, n - 1 - k) + 1 for k in roots.tolist())
+
+
+def test_two_tiers_in_one_search(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    net, dem = N._demand(spark, d)
+    dem = dem.cache()
+    monkeypatch.setattr(N, "_demand", lambda s, d: (net, dem))
+    near = G.assign(net, dem, N.LIMIT / 2).cache()
+    missed = near.where("kind = 'missed'").select("origin", "destination", F.col("value").alias("demand"))
+    both = G.link_volumes(near).unionByName(G.link_volumes(G.assign(net, missed, N.LIMIT)))
+    want = rows(both.groupBy("link_id", "direction", "u", "v").agg(F.round(F.sum("volume"), 4)))
+    assert missed.count() and rows(N.i14_two_tier_volumes(spark, d)) == want
+    some = G.assign(net, dem, N.LIMIT, kinds=("missed",))
+    assert [r[0] for r in some.select("kind").distinct().collect()] == ["missed"]
+    assert rows(some) == rows(G.assign(net, dem, N.LIMIT).where("kind = 'missed'"))
+
+
 def test_strong_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (7, 7), (8, 9)], "u long, v long")
     assert rows(G.strong_components(e)) == [(1, 3), (2, 3), (3, 3), (4, 5), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9)]
