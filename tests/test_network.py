@@ -301,6 +301,16 @@ def test_search_against_a_heap(spark):
                 assert np.allclose([metres[x] for x in t.node[mine].tolist()], t.along(g.metres)[mine])
 
 
+def test_one_broadcast_for_all_searches_on_a_table(spark, monkeypatch):
+    made, old = [], G.collect_graph
+    monkeypatch.setattr(G, "collect_graph", lambda e: made.append(1) or old(e))
+    e = _line(spark, 4)
+    assert rows(G.od_matrix(e, spark.createDataFrame([(0,)], "node_id long"), 10.0)) == [(0, 0, 0.0, 0.0), (0, 1, 10.0, 100.0)]
+    assert G.link_volumes(G.assign(e, spark.createDataFrame([(0, 2, 3.0)], "origin long, destination long, demand double"), 30.0)).agg(F.sum("volume")).first()[0] == 6.0
+    assert len(made) == 1
+    assert rows(G.od_matrix(e.where("u < 2 and v < 2"), spark.createDataFrame([(0,)], "node_id long"), 99.0)) == [(0, 0, 0.0, 0.0), (0, 1, 10.0, 100.0)]
+
+
 def test_blocks_are_large_where_sources_reach_few_nodes():
     import numpy as np
 
