@@ -309,6 +309,7 @@ def test_one_broadcast_for_all_searches_on_a_table(spark, monkeypatch):
     assert G.link_volumes(G.assign(e, spark.createDataFrame([(0, 2, 3.0)], "origin long, destination long, demand double"), 30.0)).agg(F.sum("volume")).first()[0] == 6.0
     assert len(made) == 1
     assert rows(G.od_matrix(e.where("u < 2 and v < 2"), spark.createDataFrame([(0,)], "node_id long"), 99.0)) == [(0, 0, 0.0, 0.0), (0, 1, 10.0, 100.0)]
+    assert e._graph is None  # no more than one is kept
 
 
 def test_blocks_are_large_where_sources_reach_few_nodes():
